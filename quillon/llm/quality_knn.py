@@ -109,8 +109,7 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int =
     are 0.5; an empty table returns no rows.
     """
     fold = remainder(folds)
-    rows = labelled(docs, labels, name).where((fold != held_out) & F.col("label").isNotNull())
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("label", "text")
+    rows = labelled(docs, labels.where(fold != held_out), name, sample).where("label is not null").select("label", "text")
     t = rows.mapInArrow(_sampled, "label int, x binary").toArrow()
     x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
     space = docs.sparkSession.sparkContext.broadcast(latent_space(x, t.column("label").to_numpy().astype(float)))
