@@ -1,4 +1,8 @@
 """All queries of the core library with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import operations, signals
+
+QUERIES = signals.QUERIES | operations.QUERIES
+ORACLES = signals.ORACLES | operations.ORACLES

@@ -1 +1 @@
-"""Part of the quillon safety-signal analytics engine."""
+"""Structured Streaming jobs."""
