@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -63,12 +64,12 @@ def ebgm(a: np.ndarray, e: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> n
     return np.exp(digamma(alpha + a) - np.log(beta + e))
 
 
-@F.pandas_udf("ebgm double, eb05 double")
+@F.pandas_udf(StructType([StructField("ebgm", DoubleType()), StructField("eb05", DoubleType())]))
 def ebgm_eb05(a: pd.Series, e: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.DataFrame:
     low = [gamma_quantile(0.05, x + y) / (b + z) for x, y, b, z in zip(alpha, a, beta, e)]
     return pd.DataFrame({"ebgm": np.round(ebgm(a.values, e.values, alpha.values, beta.values), 3), "eb05": np.round(low, 3)})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)) if v == v else None)

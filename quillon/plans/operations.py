@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import kernels
+
 from quillon.operators import reports, texts, trends
 from quillon.sources.tables import mentions, posts, table
 from quillon.streaming import alerts

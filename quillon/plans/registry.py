@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import operations, signals
+from . import evidence, operations, signals
 
-QUERIES = signals.QUERIES | operations.QUERIES
-ORACLES = signals.ORACLES | operations.ORACLES
+QUERIES = signals.QUERIES | operations.QUERIES | evidence.QUERIES
+ORACLES = signals.ORACLES | operations.ORACLES | evidence.ORACLES

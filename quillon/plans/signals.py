@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import kernels
@@ -11,7 +11,12 @@ from quillon.sources.tables import mentions, posts, table
 
 #: The month whose posts give a sparse table, with all strength tiers.
 MONTH = "1996-03"
-CLASS = F.substring("drug", 1, 7)
+
+
+def _class() -> Column:
+    return F.substring("drug", 1, 7)
+
+
 
 BAG = """
 select distinct l.l_orderkey as post, p.p_brand as drug, n.n_name as event, r.r_name as soc
@@ -83,11 +88,11 @@ def sta11_person_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def len10_class_effect(spark: SparkSession, sf: str) -> DataFrame:
-    return lenses.class_effect(mentions(spark, sf, MONTH), CLASS)
+    return lenses.class_effect(mentions(spark, sf, MONTH), _class())
 
 
 def len11_active_comparator(spark: SparkSession, sf: str) -> DataFrame:
-    return lenses.active_comparator(mentions(spark, sf), CLASS)
+    return lenses.active_comparator(mentions(spark, sf), _class())
 
 
 def len13_organ_system_alerts(spark: SparkSession, sf: str) -> DataFrame:
