@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, operations, signals
+from . import evidence, operations, resolution, signals
 
-QUERIES = signals.QUERIES | operations.QUERIES | evidence.QUERIES
-ORACLES = signals.ORACLES | operations.ORACLES | evidence.ORACLES
+QUERIES = signals.QUERIES | operations.QUERIES | evidence.QUERIES | resolution.QUERIES
+ORACLES = signals.ORACLES | operations.ORACLES | evidence.ORACLES | resolution.ORACLES
