@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, governance, operations, resolution, signals
+from . import assessments, evidence, governance, operations, resolution, signals
 
-QUERIES = signals.QUERIES | operations.QUERIES | evidence.QUERIES | resolution.QUERIES | governance.QUERIES
-ORACLES = signals.ORACLES | operations.ORACLES | evidence.ORACLES | resolution.ORACLES | governance.ORACLES
+QUERIES = signals.QUERIES | operations.QUERIES | evidence.QUERIES | resolution.QUERIES | governance.QUERIES | assessments.QUERIES
+ORACLES = signals.ORACLES | operations.ORACLES | evidence.ORACLES | resolution.ORACLES | governance.ORACLES | assessments.ORACLES
