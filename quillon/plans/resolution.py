@@ -244,7 +244,7 @@ def _sql_jaccard(a: str, b: str) -> str:
 
 
 _EDIT = "(1-levenshtein(lower(term),lower(entry))::double/greatest(length(term),length(entry)))"
-_NEAR = f"""g as (select term, {_sql_grams('lower(term)')} as g from t), h as (select entry, {_sql_grams('lower(entry)')} as h from c),
+NEAR = f"""g as (select term, {_sql_grams('lower(term)')} as g from t), h as (select entry, {_sql_grams('lower(entry)')} as h from c),
 s as (select term, entry, round(greatest({_EDIT}, 0.55::double*{_sql_jaccard('g', 'h')}+0.45::double*{_EDIT}),4) as score from g, h where len(list_intersect(g,h))>0)"""
 _FOLD = "upper(regexp_replace({0},'[^A-Za-z0-9]','','g'))"
 _TOKENS = "list_filter(string_split_regex(lower(text),'[^a-z0-9]+'), lambda t: t!='')"
@@ -255,9 +255,9 @@ ORACLES = {
     "sca06_edit_ratio": "select distinct p_name, p_type, round(1-levenshtein(p_name,lower(p_type))::double/greatest(length(p_name),length(p_type)),4) as ratio from part",
     "sca07_trigrams": f"with p as (select distinct p_name, p_type, {_sql_grams('lower(p_name)')} as g, {_sql_grams('lower(p_type)')} as h from part) select p_name, p_type, round({_sql_jaccard('g', 'h')},4) as similarity from p",
     "nlp25_resolver": f"""with c as (select distinct p_name as entry from part), t as (select distinct case length(entry)%4 when 0 then upper(entry) when 1 then replace(entry,' ','-') when 2 then substring(entry,1,3)||substring(entry,5,99) else 'zzqq'||substring(entry,1,2) end as term from c),
-{_NEAR}, f as (select term, entry, 1 as tier, 1::double as score from t join c on lower(term)=lower(entry) union all select term, entry, 2, 1 from t join c on {_FOLD.format('term')}={_FOLD.format('entry')} union all select term, entry, 3, score from s where score>=0.72),
+{NEAR}, f as (select term, entry, 1 as tier, 1::double as score from t join c on lower(term)=lower(entry) union all select term, entry, 2, 1 from t join c on {_FOLD.format('term')}={_FOLD.format('entry')} union all select term, entry, 3, score from s where score>=0.72),
 b as (select * from f qualify row_number() over (partition by term order by tier, score desc, entry)=1) select t.term, entry, tier, score from t left join b on t.term=b.term""",
-    "nlp34_structure": f"with c as (select distinct p_name as entry from part), t as (select entry as term from c), {_NEAR} select term, entry, score, row_number() over (partition by term order by score desc, entry) as rank from s where score>=0.6 and term!=entry qualify rank<=5",
+    "nlp34_structure": f"with c as (select distinct p_name as entry from part), t as (select entry as term from c), {NEAR} select term, entry, score, row_number() over (partition by term order by score desc, entry) as rank from s where score>=0.6 and term!=entry qualify rank<=5",
     "nlp33_ladder": f"with d as (select drug, count(*) as a from (select distinct post, drug, event from ({BAG})) group by 1), x as ({' union all '.join(f'select {k} as level, substring(drug,1,{w}) as code, a from d' for k, w in ((1, 5), (2, 7), (3, 8)))}) select level, code, count(*) as members, sum(a)::bigint as n from x group by all",
     "nlp13_negation": f"""with t as (select conv_id, turn, {_TOKENS} as w from conversations), n as (select conv_id, turn, len(list_filter(generate_series(1,len(w)), lambda i: w[i]='the' and {_LAST.format("'for','with','on'")} > {_LAST.format("'and'")})) as n from t) select * from n where n>0""",
     "nlp15_polarity": f"""with t as (select list_sum(list_transform(list_concat(['-'], {_TOKENS}), lambda x: case x when 'the' then 0.5::double when 'of' then -1::double when 'to' then -0.5::double when 'with' then 2::double else 0::double end)) as s from documents),
