@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, read_table, shared_dir, stored
@@ -50,8 +50,9 @@ def dechunked(body: bytes) -> bytes:
         at += n + 2
 
 
-def _record_id(page: int, part: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page}/{part}')}>"
+def _record_id(page: int, digest: str, copy: int = 1, part: int = 1) -> str:
+    """Rows may share a page_id; those that share the payload too are told apart by their copy number."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page}/{digest}/{copy}/{part}')}>"
 
 
 def _record(headers: dict[str, str], block: bytes) -> bytes:
@@ -59,26 +60,28 @@ def _record(headers: dict[str, str], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n"  # the writer adds the last \r\n
 
 
-def page_records(page: int, url: str | None, payload: bytes, refers: int | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page: a revisit, a response, or a response and its continuations."""
+def page_records(page: int, url: str | None, payload: bytes, refers: int | None, segment: int = SEGMENT, copy: int = 1) -> list[bytes]:
+    """The records of one page: a revisit, a response, or a response and its continuations. A revisit refers to the
+    first copy of the response."""
+    digest = hashlib.sha256(payload).hexdigest()
     base = {
         "WARC-Target-URI": "".join((url or "about:blank").split()),
         "WARC-Date": _DATE,
         "X-Page-ID": str(page),
-        "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}",
+        "WARC-Payload-Digest": f"sha256:{digest}",
     }
     if refers is not None:
-        more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _record_id(refers), "X-Refers-To-Page": str(refers)}
-        return [_record({"WARC-Type": "revisit", "WARC-Record-ID": _record_id(page)} | base | more, b"")]
+        more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _record_id(refers, digest), "X-Refers-To-Page": str(refers)}
+        return [_record({"WARC-Type": "revisit", "WARC-Record-ID": _record_id(page, digest, copy)} | base | more, b"")]
     block = _HTTP + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     out = []
     for k, part in enumerate(parts, 1):
-        head = {"WARC-Type": "response" if k == 1 else "continuation", "WARC-Record-ID": _record_id(page, k)} | base
+        head = {"WARC-Type": "response" if k == 1 else "continuation", "WARC-Record-ID": _record_id(page, digest, copy, k)} | base
         if k == 1:
             head["Content-Type"] = "application/http; msgtype=response"
         else:
-            head["WARC-Segment-Origin-ID"] = _record_id(page)
+            head["WARC-Segment-Origin-ID"] = _record_id(page, digest, copy)
         if len(parts) > 1:
             head["WARC-Segment-Number"] = str(k)
         if 1 < len(parts) == k:
@@ -107,9 +110,9 @@ def parsed(data: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = zip(*(column(b, n).to_pylist() for n in ("page_id", "url", "html", "refers_to")))
-        for page, url, html, refers in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(page_records(page, url, (html or "").encode(), refers), pa.binary())], ["record"])
+        rows = zip(*(column(b, n).to_pylist() for n in ("page_id", "url", "html", "refers_to", "copy")))
+        for page, url, html, refers, copy in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(page_records(page, url, (html or "").encode(), refers, copy=copy), pa.binary())], ["record"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,20 +128,25 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _payload() -> Column:
+    return F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload, of at least 100 bytes, an earlier page_id has."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    keys = pages.where(F.octet_length(payload) >= LEAST).select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"))
+    """(page_id, digest, refers_to) of payloads, of at least 100 bytes, that a row with an earlier page_id has."""
+    keys = pages.where(F.octet_length(_payload()) >= LEAST).select(F.col("page_id").cast("long").alias("page_id"), F.sha2(_payload(), 256).alias("digest"))
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keys.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return keys.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write a record (or its segments) per row of pages. Null html is an empty payload; rows without a page_id, which
-    nothing could refer to, are numbered from -1 down by their content's hash."""
+    nothing could refer to, are numbered from -1 down by their content's hash. Rows of the same page_id and payload
+    are numbered, so that each has records of its own."""
     page = F.coalesce(F.col("page_id").cast("long"), -F.pmod(F.xxhash64("url", "html"), F.lit(1 << 40)) - 1)
-    rows = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.join(revisits(pages), "page_id", "left")
+    rows = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(_payload(), 256).alias("digest"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    rows = rows.join(revisits(pages), ["page_id", "digest"], "left").drop("digest")
     records = rows.mapInArrow(lambda batches: _gathered(_write(batches)), "record binary")
     writer = records.select(F.col("record").cast("string").alias("value")).write
     writer.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
@@ -149,7 +157,7 @@ def _decoded(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-_RAW = pa.schema([("page_id", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("refers_to", pa.int64()), ("block", pa.binary())])
+_RAW = pa.schema([("page_id", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,49 +172,56 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = int(h.get("warc-segment-number", 0))
                 total = h.get("warc-segment-total-length")
                 refers = h.get("x-refers-to-page")
-                rows.append((int(h["x-page-id"]), h["warc-type"], h["warc-record-id"], h.get("warc-segment-origin-id", h["warc-record-id"]), number, total and int(total), refers and int(refers), block))
+                rows.append((int(h["x-page-id"]), h["warc-type"], h["warc-record-id"], h.get("warc-segment-origin-id", h["warc-record-id"]), number, total and int(total), refers and int(refers), h.get("warc-payload-digest", "").removeprefix("sha256:"), block))
             for i in range(0, len(rows), 500):
                 part = list(zip(*rows[i : i + 500]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _RAW)], schema=_RAW)
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "type", "refers_to", "payload"]
+    names = ["page_id", "type", "refers_to", "digest", "payload"]
     for b in batches:
         payload = [_decoded(x) if t == "response" else None for t, x in zip(column(b, "type").to_pylist(), column(b, "block").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names[:3]), pa.array(payload, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names[:4]), pa.array(payload, pa.binary())], names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, type (response or revisit), refers_to and payload of each record, segments joined.
+    """page_id, type (response or revisit), refers_to, stated digest and payload of each record, segments joined.
 
     Segmented records must be complete: numbers 1..n, with the total length that the last one states; what is not
     comes back as type 'incomplete' without a payload.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    raw = files.mapInArrow(_read, "page_id long, type string, record_id string, origin string, segment int, total long, refers_to long, block binary")
-    whole = raw.where("segment = 0").select("page_id", "type", "refers_to", "block")
+    raw = files.mapInArrow(_read, "page_id long, type string, record_id string, origin string, segment int, total long, refers_to long, digest string, block binary")
+    whole = raw.where("segment = 0").select("page_id", "type", "refers_to", "digest", "block")
     parts = raw.where("segment > 0").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.min("page_id").alias("page_id"), F.count("*").alias("n"), F.max("segment").alias("last")
+        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.min("page_id").alias("page_id"), F.min("digest").alias("digest"), F.count("*").alias("n"), F.max("segment").alias("last")
     )
     block = F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.block))")
     joined = parts.withColumn("block", block)
     good = (F.col("n") == F.col("last")) & (F.octet_length("block") == F.col("total"))
-    joined = joined.select("page_id", F.when(good, "response").otherwise("incomplete").alias("type"), F.lit(None).cast("long").alias("refers_to"), "block")
-    return whole.unionByName(joined).mapInArrow(_payloads, "page_id long, type string, refers_to long, payload binary")
+    joined = joined.select("page_id", F.when(good, "response").otherwise("incomplete").alias("type"), F.lit(None).cast("long").alias("refers_to"), "digest", "block")
+    return whole.unionByName(joined).mapInArrow(_payloads, "page_id long, type string, refers_to long, digest string, payload binary")
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Write the pages' archives to the shared folder and read them back: page_id, payload_bytes, payload_digest,
-    record_type and refers_to. A revisit takes length and digest from the response that it refers to."""
+    record_type and refers_to, a row for each row of pages."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    found = read_archives(spark, path).select("page_id", "type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    return indexed(read_archives(spark, path))
+
+
+def indexed(records: DataFrame) -> DataFrame:
+    """A revisit takes length and digest from the response that it refers to, of the digest that it states. Length and
+    digest of an incomplete record, and of a revisit without a complete response, are null."""
+    found = records.select("page_id", "type", "refers_to", F.col("digest").alias("stated"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     found = stored(found, "warc-index")
-    own = found.where("type = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    origin = found.where("type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    again = found.where("type = 'revisit'").select("page_id", "refers_to", F.col("type").alias("record_type")).join(origin, "refers_to")
+    own = found.where("type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    origin = found.where("type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated"))
+    origin = origin.agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    again = found.where("type = 'revisit'").select("page_id", "refers_to", "stated", F.col("type").alias("record_type")).join(origin, ["refers_to", "stated"], "left").drop("stated")
     return own.unionByName(again)
 
 

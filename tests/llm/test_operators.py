@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import re
 import zlib
@@ -198,6 +199,32 @@ def test_warc(spark):
         warc.dechunked(b"3\r\nabcd\r\n0\r\n\r\n")
 
 
+def test_warc_keeps_rows_that_share_a_page_id(spark, tmp_path):
+    long, other = "long page " * 4000, "other " * 9000
+    rows = [(1, "u", long), (1, "u", long), (1, "v", long), (2, "u", long), (2, "u", other), (2, "u", "z" * 300), (3, "u", other), (None, "u", long), (None, "u", long), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r.page_id if r.page_id > 0 else None, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived_pages(pages).collect())
+    first = {long: 1, other: 2}
+    want = collections.Counter()
+    for page, _, html in rows:
+        b = (html or "").encode()
+        again = page is not None and first.get(html, page) < page
+        want[page, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[html] if again else None] += 1
+    assert got == want
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages, path)
+    ids = [h["warc-record-id"] for p in (tmp_path / "warc").glob("part-*") for h, _ in warc.parsed(memoryview(gzip.decompress(p.read_bytes())))]
+    assert len(ids) == len(set(ids)) > len(rows)
+
+
+def test_warc_returns_incomplete_records(spark, tmp_path):
+    html, digest = "long page " * 4000, hashlib.sha256(b"long page " * 4000).hexdigest()
+    records = warc.page_records(1, "u", html.encode(), None)[:-1] + warc.page_records(2, "u", html.encode(), 1) + warc.page_records(3, "u", html.encode(), None)
+    (tmp_path / "a.warc").write_bytes(b"".join(r + b"\r\n" for r in records))
+    got = warc.indexed(warc.read_archives(spark, str(tmp_path / "a.warc"))).collect()
+    assert sorted((r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in got) == [(1, "incomplete", None, None, None), (2, "revisit", None, None, 1), (3, "response", len(html), digest, None)]
+
+
 def test_token_rollup(spark, tmp_path):
     schema = "kind string, source string, lang string, tokenizer_version string, n_tokens long, old_n_tokens long"
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "rollup"))
