@@ -50,6 +50,18 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def with_rest(docs: DataFrame) -> DataFrame:
+    """doc_id as long, text, and the other columns in a struct `rest`: whole rows, for operators that hand them on."""
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+
+
+def rows_again(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of with_rest() that `found` still has, with the columns and types of `docs`."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    return found.select(*(F.col(c).cast(kinds[c]).alias(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

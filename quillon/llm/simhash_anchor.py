@@ -12,7 +12,7 @@ most C(64,1) + C(64,2) = 2080 partners: links grow with the number of different
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import chunks, column, cut, read_table, texts_of
+from .common import chunks, column, cut, read_table, rows_again, stored, texts_of, with_rest
 from .components import connected_components
 
 SEED = 42
@@ -47,10 +48,13 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        prints = np.array([fingerprint(t) for t in column(b, "text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(prints)], ["doc_id", "fp"])
+def _fingerprints(keep: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([fingerprint(t) for t in column(b, "text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in keep), pa.array(prints)], [*keep, "fp"])
+
+    return run
 
 
 @cache
@@ -151,21 +155,38 @@ def simhash_links(prints: DataFrame) -> DataFrame:
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
 
 
+def _members(prints: DataFrame) -> DataFrame:
+    """A table of different fingerprints `fp` with the component of each."""
+    label = connected_components(simhash_links(prints), "a", "b").select(F.col("node").alias("fp"), F.col("component"))
+    return prints.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row of documents.
 
     Null and blank texts have fingerprint zero and link like any other; repeated rows return one row each; an empty
     table returns no rows; rows with a null doc_id return a row, but do not name a component (null if it has no other).
     """
-    rows = cut(texts_of(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    rows = cut(texts_of(docs).mapInArrow(_fingerprints(["doc_id"]), "doc_id long, fp long"))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = connected_components(simhash_links(prints), "a", "b").select(F.col("node").alias("fp"), F.col("component"))
-    member = prints.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    member = _members(prints)
     first = member.groupBy("component").agg(F.min("least").alias("component_id"))
     names = member.join(first, "component").select("fp", "component_id")
     return rows.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Exactly one row of documents per component: that of the least doc_id, a missing one being the largest; rows that
+    share it are told apart by their content's hash, and equal rows by where they are stored."""
+    whole = with_rest(docs)
+    prints = whole.mapInArrow(_fingerprints(whole.columns), StructType([*whole.schema.fields, StructField("fp", LongType())]))
+    rows = stored(prints.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "rest"), "row")
+    least = cut(rows.groupBy("fp").agg(F.min(rank).alias("least")))
+    first = _members(least).groupBy("component").agg(F.min("least").alias("least")).select("least.row")
+    return rows_again(rows.join(first, "row", "left_semi"), docs)
+
+
 def op10_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read_table(spark, sf_dir, "documents"))
 

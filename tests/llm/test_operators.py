@@ -307,6 +307,44 @@ def test_pipeline_stages(spark, docs):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(after)
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdeghilmnoprstu"), rng.integers(3, 9))) for _ in range(60)]
+    prose = lambda n=90: " ".join(rng.choice(vocabulary, n))
+    rude, line = " vile scum idiot" * 4, " " + prose(25)
+    made = [(i, prose() + (rude if i % 4 == 0 else "") + (line if i % 7 == 0 else "")) for i in range(300)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(300)]
+    text = dict(made)
+    made += [(1, prose() + rude), (2, prose()), (2, prose(20)), (3, prose(20)), (4, prose())]  # of one doc_id: clean and toxic, both clean, short
+    made += [(5, text[5]), (5, text[5]), (400, text[6]), (None, text[6]), (None, text[9])]  # copies
+    twin = prose()
+    made += [(None, prose() + rude), (None, prose(20)), (None, None), (None, ""), (None, prose()), (None, twin), (None, twin)]
+    rows = [(d, t, "en", f"s{k}", len(t or "")) for k, (d, t) in enumerate(made)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    clean = [(d, t) for d, t in made if t and rude not in t and len(t.split()) >= 50]
+    prints = [simhash_anchor.fingerprint(t) for _, t in clean]
+    group = components(range(len(clean)), [(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints[:i]) if (a ^ b).bit_count() <= 2])
+    kept = {}
+    for i, (d, t) in enumerate(clean):
+        kept[group[i]] = min(kept.get(group[i], (True, 0, t)), (d is None, d or 0, t))
+    kept = [(-1 if none else d, t) for none, d, t in kept.values()]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, seen, shorter = collections.Counter(), set(), 0
+    for d, t in sorted(kept):
+        windows = [t[p : p + 100] for p in range(len(t) - 99)]
+        gone = {p + k for p, w in enumerate(windows) if w in seen for k in range(100)}
+        seen.update(windows)
+        shorter += bool(gone)
+        ids = np.array(tok.encode("".join(x for p, x in enumerate(t) if p not in gone), add_special_tokens=False).ids + [0], "<u4")
+        want[None if d == -1 else d, len(ids), zlib.crc32(ids.tobytes())] += 1
+    got = collections.Counter((r.doc_id, r.length, r.ids_crc32) for r in cp.run(spark, str(tmp_path)).collect())
+    assert got == want and len(kept) > 220 and shorter > 20
+
+
 def test_rollup_query_equals_sql(spark, sf):
     from compare import difference
 
