@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -126,19 +127,53 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return lo, hi, np.searchsorted(at, lo, "right") - 1
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0..n-1 of the hash's factor and of its inverse modulo 2^64."""
+    out = []
+    for factor in (int(_POWER), pow(int(_POWER), -1, 1 << 64)):
+        p = np.full(n, factor, np.uint64)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
 def word_hashes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes: differences of a running polynomial sum, shifted to the word's start."""
     if not len(lo):
         return np.empty(0, np.uint64)
-    size = hi - lo
-    first = np.cumsum(size) - size
-    inside = np.arange(int(size.sum())) - np.repeat(first, size)
-    power = np.ones(int(size.max()), np.uint64)
-    if len(power) > 1:
-        power[1:] = _POWER
-        power = np.multiply.accumulate(power)
-    values = BYTE_HASH[raw[np.repeat(lo, size) + inside]] * power[inside]
-    return mixed(np.add.reduceat(values, first))
+    size = 1 << (len(raw) - 1).bit_length()
+    power, inverse = _powers(size) if size <= 1 << 23 else _powers.__wrapped__(size)  # tables of long texts are not kept
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTE_HASH[raw] * power[: len(raw)], out=total[1:])
+    return mixed((total[hi] - total[lo]) * inverse[lo])
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of an array, sorted (a plain sort is several times faster here than numpy.unique)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+class Keys:
+    """Sorted 64-bit keys, looked up behind a bit per 2^22nd of their range."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.keys >> np.uint64(42)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of h are keys (their numbers, ascending), and which keys they are."""
+        at = np.flatnonzero(self.maybe[h >> np.uint64(42)])
+        where = np.minimum(np.searchsorted(self.keys, h[at]), max(len(self.keys) - 1, 0))
+        hit = self.keys[where] == h[at] if len(at) else np.zeros(0, bool)
+        return at[hit], where[hit]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        out[self.find(h)[0]] = True
+        return out
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
