@@ -79,12 +79,14 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(array: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows [lo, hi) whose texts hold about `most` bytes (a longer text stands alone), with bytes and offsets."""
+def chunks(array: pa.Array, most: int = 1 << 20, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows [lo, hi), at most `rows`, whose texts hold about `most` bytes (a longer text stands alone), with bytes and
+    offsets."""
     raw, at = utf8(array)
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        hi = min(hi, lo + rows)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
@@ -138,15 +140,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: differences of a running polynomial sum, shifted to the word's start."""
-    if not len(lo):
-        return np.empty(0, np.uint64)
-    size = 1 << (len(raw) - 1).bit_length()
-    power, inverse = _powers(size) if size <= 1 << 23 else _powers.__wrapped__(size)  # tables of long texts are not kept
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_HASH[raw] * power[: len(raw)], out=total[1:])
-    return mixed((total[hi] - total[lo]) * inverse[lo])
+def word_hashes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: differences of a running polynomial sum, shifted to the word's start; a
+    block of text at a time."""
+    out = np.empty(len(lo), np.uint64)
+    first = 0
+    while first < len(lo):
+        base = int(lo[first])
+        last = max(first + 1, int(np.searchsorted(hi, base + block, "right")))
+        part = BYTE_HASH[raw[base : hi[last - 1]]]
+        size = max(block, 1 << (len(part) - 1).bit_length())
+        power, inverse = _powers(size) if size == block else _powers.__wrapped__(size)  # for one very long word
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * power[: len(part)], out=total[1:])
+        a, z = lo[first:last] - base, hi[first:last] - base
+        out[first:last] = (total[z] - total[a]) * inverse[a]
+        first = last
+    return mixed(out)
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -156,19 +166,34 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 class Keys:
-    """Sorted 64-bit keys, looked up behind a bit per 2^22nd of their range."""
+    """A sorted array of 64-bit hashes, searched from where the top bits of a hash begin; a search of n hashes takes
+    as many vector steps as the fullest of those ranges holds keys, two or three for most."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(keys)
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.keys >> np.uint64(42)] = True
+        self.shift = np.uint64(64 - max(8, min(22, int(len(keys)).bit_length())))
+        tops = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.begin = np.concatenate([[0], np.cumsum(tops)]).astype(np.int32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of h are keys (their numbers, ascending), and which keys they are."""
-        at = np.flatnonzero(self.maybe[h >> np.uint64(42)])
-        where = np.minimum(np.searchsorted(self.keys, h[at]), max(len(self.keys) - 1, 0))
-        hit = self.keys[where] == h[at] if len(at) else np.zeros(0, bool)
-        return at[hit], where[hit]
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int32)
+        top = (h >> self.shift).astype(np.int64)
+        at, end = self.begin[top], self.begin[top + 1]
+        found = np.full(len(h), -1, np.int32)
+        open_ = np.flatnonzero(at < end)
+        at, end, want = at[open_], end[open_], h[open_]
+        while len(open_):
+            key = self.keys[at]
+            hit = key == want
+            found[open_[hit]] = at[hit]
+            on = key < want
+            at += 1
+            on &= at < end
+            open_, at, end, want = open_[on], at[on], end[on], want[on]
+        hit = np.flatnonzero(found >= 0)
+        return hit, found[hit]
 
     def has(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), bool)

@@ -27,8 +27,8 @@ SAMPLE = 4096
 AXES = 64
 NEIGHBOURS = 32
 THRESHOLD = 0.3
-#: Rows in a block of products.
-BLOCK = 512
+#: Rows whose features are held at a time, and rows in a block of products: 256 x 4096 counts of 8 bytes are 8 MB.
+BLOCK = 256
 #: Similarities count by this power, so that close neighbours outweigh the many of the same language.
 SHARPNESS = 8
 
@@ -54,16 +54,18 @@ class Space:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors."""
+        """Similarity-weighted share of label 1 among the nearest labelled vectors; all that tie with the last of the
+        `NEIGHBOURS` vote too."""
         if not len(self.labels):
             return np.full(len(x), 0.5)
         out = np.empty(len(x))
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(x), BLOCK):
             cos = self.project(x[i : i + BLOCK]) @ self.vectors.T
-            near = np.argpartition(cos, -k, axis=1)[:, -k:]
-            w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** SHARPNESS + 1e-9
-            out[i : i + BLOCK] = (w * self.labels[near]).sum(1) / w.sum(1)
+            least = np.partition(cos, -k, axis=1)[:, -k, None]
+            row, near = np.nonzero(cos >= least)
+            w = np.maximum(cos[row, near], 0).astype(np.float64) ** SHARPNESS + 1e-9
+            out[i : i + BLOCK] = np.bincount(row, w * self.labels[near], len(cos)) / np.bincount(row, w, len(cos))
         return out
 
 
@@ -86,7 +88,7 @@ def latent_space(x: np.ndarray, y: np.ndarray, axes: int = AXES, seed: int = 7)
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi, raw, at in chunks(column(b, "text")):
+        for lo, hi, raw, at in chunks(column(b, "text"), rows=BLOCK):
             rows = [r.tobytes() for r in features(raw, at)]
             yield pa.RecordBatch.from_arrays([column(b, "label")[lo:hi], pa.array(rows, pa.binary())], ["label", "x"])
 
@@ -95,7 +97,7 @@ def _scores(space: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.empty(0)]
-            for _, _, raw, at in chunks(column(b, "text")):
+            for _, _, raw, at in chunks(column(b, "text"), rows=BLOCK):
                 out.append(space.value.score(features(raw, at)))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(np.concatenate(out))], ["doc_id", "score"])
 
@@ -119,6 +121,7 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int =
 
 
 def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 over all documents; nulls, ties and empty tables as in quality()."""
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 

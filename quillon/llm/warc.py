@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, read_table, shared_dir, stored
@@ -50,8 +50,8 @@ def dechunked(body: bytes) -> bytes:
         at += n + 2
 
 
-def _record_id(page: int, digest: str, copy: int = 1, part: int = 1) -> str:
-    """Rows may share a page_id; those that share the payload too are told apart by their copy number."""
+def _record_id(page: int | None, digest: str, copy: int = 1, part: int = 1) -> str:
+    """Rows may share a page_id, or have none, and the payload; so each has a copy number of its own."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page}/{digest}/{copy}/{part}')}>"
 
 
@@ -60,18 +60,19 @@ def _record(headers: dict[str, str], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n"  # the writer adds the last \r\n
 
 
-def page_records(page: int, url: str | None, payload: bytes, refers: int | None, segment: int = SEGMENT, copy: int = 1) -> list[bytes]:
+def page_records(page: int | None, url: str | None, payload: bytes, refers: int | None, segment: int = SEGMENT, copy: int = 1, refers_copy: int = 1) -> list[bytes]:
     """The records of one page: a revisit, a response, or a response and its continuations. A revisit refers to the
-    first copy of the response."""
+    copy `refers_copy` of page `refers`. A page without an id has no X-Page-ID."""
     digest = hashlib.sha256(payload).hexdigest()
     base = {
         "WARC-Target-URI": "".join((url or "about:blank").split()),
         "WARC-Date": _DATE,
-        "X-Page-ID": str(page),
         "WARC-Payload-Digest": f"sha256:{digest}",
     }
+    if page is not None:
+        base["X-Page-ID"] = str(page)
     if refers is not None:
-        more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _record_id(refers, digest), "X-Refers-To-Page": str(refers)}
+        more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _record_id(refers, digest, refers_copy), "X-Refers-To-Page": str(refers)}
         return [_record({"WARC-Type": "revisit", "WARC-Record-ID": _record_id(page, digest, copy)} | base | more, b"")]
     block = _HTTP + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -110,9 +111,9 @@ def parsed(data: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = zip(*(column(b, n).to_pylist() for n in ("page_id", "url", "html", "refers_to", "copy")))
-        for page, url, html, refers, copy in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(page_records(page, url, (html or "").encode(), refers, copy=copy), pa.binary())], ["record"])
+        rows = zip(*(column(b, n).to_pylist() for n in ("page_id", "url", "html", "refers_to", "copy", "refers_copy")))
+        for page, url, html, refers, copy, of in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(page_records(page, url, (html or "").encode(), refers, copy=copy, refers_copy=of), pa.binary())], ["record"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,21 +133,32 @@ def _payload() -> Column:
     return F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) of payloads, of at least 100 bytes, that a row with an earlier page_id has."""
-    keys = pages.where(F.octet_length(_payload()) >= LEAST).select(F.col("page_id").cast("long").alias("page_id"), F.sha2(_payload(), 256).alias("digest"))
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keys.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+def numbered(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, the payload's digest, and a number `copy` of each row."""
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
+        F.sha2(_payload(), 256).alias("digest"), F.monotonically_increasing_id().alias("copy"),
+    )
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to, refers_copy) of payloads, of at least 100 bytes, that a row with an earlier page_id
+    has."""
+    keys = rows.where((F.octet_length(_payload()) >= LEAST) & F.col("page_id").isNotNull()).select("page_id", "digest", "copy")
+    first = keys.groupBy("digest").agg(F.min(F.struct("page_id", "copy")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.copy").alias("refers_copy"))
+    return keys.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to", "refers_copy").distinct()
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write a record (or its segments) per row of pages. Null html is an empty payload; rows without a page_id, which
-    nothing could refer to, are numbered from -1 down by their content's hash. Rows of the same page_id and payload
-    are numbered, so that each has records of its own."""
-    page = F.coalesce(F.col("page_id").cast("long"), -F.pmod(F.xxhash64("url", "html"), F.lit(1 << 40)) - 1)
-    rows = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(_payload(), 256).alias("digest"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
-    rows = rows.join(revisits(pages), ["page_id", "digest"], "left").drop("digest")
+    """Write a record (or its segments) per row of pages. Null html is an empty payload; rows without a page_id stay
+    so, are all responses, and nothing refers to them. Rows of the same page_id and payload have records of their own
+    each; an empty table writes no records."""
+    rows = numbered(pages)
+    # Rows without a page_id find nothing; a key of their own each spreads them.
+    own = F.when(F.col("page_id").isNull(), F.col("copy") + 1).otherwise(0)
+    found = revisits(rows).withColumn("own", F.lit(0).cast("long"))
+    rows = rows.withColumn("own", own).join(found, ["page_id", "digest", "own"], "left").drop("digest", "own")
     records = rows.mapInArrow(lambda batches: _gathered(_write(batches)), "record binary")
     writer = records.select(F.col("record").cast("string").alias("value")).write
     writer.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
@@ -172,7 +184,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = int(h.get("warc-segment-number", 0))
                 total = h.get("warc-segment-total-length")
                 refers = h.get("x-refers-to-page")
-                rows.append((int(h["x-page-id"]), h["warc-type"], h["warc-record-id"], h.get("warc-segment-origin-id", h["warc-record-id"]), number, total and int(total), refers and int(refers), h.get("warc-payload-digest", "").removeprefix("sha256:"), block))
+                page = h.get("x-page-id")
+                rows.append((page and int(page), h["warc-type"], h["warc-record-id"], h.get("warc-segment-origin-id", h["warc-record-id"]), number, total and int(total), refers and int(refers), h.get("warc-payload-digest", "").removeprefix("sha256:"), block))
             for i in range(0, len(rows), 500):
                 part = list(zip(*rows[i : i + 500]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _RAW)], schema=_RAW)
@@ -206,7 +219,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Write the pages' archives to the shared folder and read them back: page_id, payload_bytes, payload_digest,
-    record_type and refers_to, a row for each row of pages."""
+    record_type and refers_to, a row for each row of pages.
+
+    Null html is an empty payload; a null page_id comes back null; repeated rows come back as often as they are there;
+    of records that tie for the first of their payload (same page_id) all are responses; an empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
@@ -226,6 +243,7 @@ def indexed(records: DataFrame) -> DataFrame:
 
 
 def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 over all pages; nulls, ties and empty tables as in archived_pages()."""
     return archived_pages(read_table(spark, sf_dir, "pages"))
 
 
