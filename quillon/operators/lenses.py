@@ -87,23 +87,28 @@ def masking(mentions: DataFrame) -> DataFrame:
     found = found.withColumn("place", F.row_number().over(order)).where("place <= 10")
     share = F.round(F.col("n_rival") / F.col("event_total"), 4)
     likely = (F.col("n_rival") >= 2) & ((share >= 0.10) | (F.col("n_rival") > F.col("a")))
-    by = found.groupBy("drug", "event").agg(F.max("a").alias("target"), F.max("event_total").alias("event_total"), F.max(share).alias("top_share"), F.count_if(likely).alias("n_likely"), F.min_by("rival", F.struct(-F.col("n_rival"), F.col("rival"))).alias("top_rival"))
+    by = found.groupBy("drug", "event").agg(F.max("a").alias("target"), F.max("event_total").alias("event_total"), F.max(share).alias("top_share"), F.count_if(likely).alias("n_likely"), F.min_by("rival", F.struct(-F.col("n_rival"), F.col("rival"))).alias("top_rival"), F.collect_list(F.when(likely, F.struct((-F.col("n_rival")).alias("n"), "rival"))).alias("maskers"))
+    by = by.withColumn("maskers", F.transform(F.slice(F.array_sort("maskers"), 1, 3), lambda m: m["rival"]))
     own = F.col("target") / F.col("event_total")
     risk = F.when((F.col("top_share") >= 0.35) & (own < 0.40), "high").when((F.col("top_share") >= 0.15) | (F.col("n_likely") > 0), "moderate").otherwise("low")
     return by.withColumn("risk", risk)
 
 
-def remine(mentions: DataFrame, most: int = 200) -> DataFrame:
-    """Statistics of the largest pairs before and after whole posts with the event's largest other drug are dropped.
+def remine(mentions: DataFrame) -> DataFrame:
+    """Statistics of every pair before and after whole posts with its maskers (up to three likely ones, else the
+    event's largest other drug) are dropped, what comes of it, and how well the pair can be judged.
 
-    What the dropped posts held is counted per excluded drug and taken off the pair's cells, so the mentions are
-    joined with their own posts only, never with all exclusion sets.
+    Pairs of an event share few sets of maskers. What the dropped posts held is counted per set and taken off the
+    pair's cells, so the mentions are joined with their own posts only, never evaluated once for each set.
     """
     before = cells(pair_counts(mentions))
-    target = masking(mentions).orderBy(F.desc("target"), "drug", "event").limit(most).select("drug", "event", F.col("top_rival").alias("excluded"))
-    hit = mentions.select("post", F.col("drug").alias("excluded")).distinct().join(target.select("excluded").distinct(), "excluded")
+    members = F.when(F.size("maskers") > 0, F.col("maskers")).otherwise(F.array("top_rival"))
+    target = masking(mentions).select("drug", "event", F.array_sort(members).alias("members"))
+    target = target.withColumn("excluded", F.array_join("members", "|"))
+    sets = target.select("excluded", F.explode("members").alias("drug")).distinct()
+    hit = mentions.select("post", "drug").distinct().join(sets, "drug").select("post", "excluded").distinct()
     gone = mentions.join(hit, "post").groupBy("excluded", "drug", "event").agg(F.count("*").alias("n"))
-    rows = target.join(before, ["drug", "event"])
+    rows = target.drop("members").join(before, ["drug", "event"])
     for name, keys in (("pair", ["drug", "event"]), ("drug", ["drug"]), ("event", ["event"]), ("all", [])):
         lost = gone.groupBy("excluded", *keys).agg(F.sum("n").alias(f"gone_{name}"))
         rows = rows.join(lost, ["excluded", *keys], "left").fillna(0, [f"gone_{name}"])
@@ -114,15 +119,18 @@ def remine(mentions: DataFrame, most: int = 200) -> DataFrame:
         "d": F.col("d") - (F.col("gone_all") - F.col("gone_drug") - F.col("gone_event") + F.col("gone_pair")),
     }
     keys = ["excluded", "drug", "event"]
-    pick = lambda df, tag: measures(df.select(*keys, "a", "b", "c", "d")).select(*keys, F.col("a").alias(f"n_{tag}"), F.col("prr").alias(f"prr_{tag}"), kernels.sdr_by_prr().alias(f"sdr_{tag}"))
+    pick = lambda df, tag: measures(df.select(*keys, "a", "b", "c", "d")).select(*keys, F.col("a").alias(f"n_{tag}"), F.col("prr").alias(f"prr_{tag}"), kernels.sdr_by_prr().alias(f"sdr_{tag}"), (F.col("a") / (F.col("a") + F.col("b"))).alias(f"rate_{tag}"))
     after = rows.withColumns(cut).where("a > 0")
     rows = pick(rows, "before").join(pick(after, "after"), keys, "left")
     ratio = F.round(F.col("prr_after") / F.col("prr_before"), 3)
+    together = F.round(F.col("rate_after") / F.col("rate_before"), 3)
     outcome = (
         F.when(F.col("n_after").isNull(), "vanished").when(~F.col("sdr_before") & F.col("sdr_after"), "unmasked").when(F.col("sdr_before") & ~F.col("sdr_after"), "attenuated")
-        .when(ratio <= 0.85, "attenuated").when(ratio >= 1.15, "amplified").otherwise("stable")
+        .when(~together.between(0.85, 1.15), "co_reported").when(ratio <= 0.85, "attenuated").when(ratio >= 1.15, "amplified").otherwise("stable")
     )
-    return rows.withColumn("masking_ratio", ratio).withColumn("outcome", outcome).drop("sdr_before", "sdr_after")
+    tier = F.when(F.col("n_before") >= 3, "evaluable").when(F.col("n_before") == 2, "provisional").otherwise("exploratory")
+    rows = rows.withColumn("masking_ratio", ratio).withColumn("coreporting", together).withColumn("outcome", outcome).withColumn("tier", tier)
+    return rows.drop("sdr_before", "sdr_after", "rate_before", "rate_after")
 
 
 def spatial_scan(posts: DataFrame, signal_posts: DataFrame) -> DataFrame:

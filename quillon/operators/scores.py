@@ -37,7 +37,7 @@ def thread_rating(confidence: Column, corroborating: Column, contradicting: Colu
     return F.when(red, "Red").when((confidence >= 0.45) | ((ae >= 2) & (corroborating >= 1)), "Amber").otherwise("Green")
 
 
-def triangulation(strength: Column, prr: Column, chi2: Column, n: Column, known: Column, reports: Column, persons: Column) -> tuple[Column, Column]:
+def triangulation(strength: Column, prr: Column, chi2: Column, n: Column, known: Column, reports: Column, persons: Column, digits: int = 6) -> tuple[Column, Column]:
     """Score and tier from social, regulatory and real-world pillars."""
     social_ok = (strength == "STRONG") | ((prr >= 2) & (chi2 >= 4) & (n >= 3))
     best = 0.45 + 0.15 * F.least(prr / 5, F.lit(1.0)) + 0.2 * F.when(strength == "STRONG", 1.0).otherwise(0.5)
@@ -49,7 +49,7 @@ def triangulation(strength: Column, prr: Column, chi2: Column, n: Column, known:
     every = social_ok & regulatory_ok & world_ok
     score = F.least(F.lit(1.0), 0.35 * social + 0.40 * regulatory + 0.25 * world + F.when(every, 0.12).otherwise(0.0))
     tier = F.when(every, "CRITICAL_URGENT").when(social_ok & regulatory_ok, "HIGH_EARLY_WARNING").when(social_ok & ~world_ok, "EMERGENT_CHATTER").when(regulatory_ok & ~social_ok, "REGULATORY_ONLY").otherwise("INSUFFICIENT")
-    return F.round(score, 6), tier
+    return F.round(score, digits), tier
 
 
 def rem(a: Column, n: Column, cohort_a: Column, cohort_n: Column) -> Column:

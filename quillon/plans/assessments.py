@@ -10,11 +10,11 @@ from quillon.operators import assessment, dma, reports
 from quillon.sources.tables import mentions, posts, table
 
 from .governance import MOVES
-from .signals import BAG, MONTH, MONTH_BAG, POSTS, SDR_PRR, sql_cells, sql_measures
+from .signals import BAG, FINE_BAG, POSTS, SDR_PRR, sql_cells, sql_measures
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    return dma.disproportionality(mentions(spark, sf, MONTH))
+    return dma.disproportionality(mentions(spark, sf, fine=True))
 
 
 def _nations(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +42,7 @@ def sta32_verdict(spark: SparkSession, sf: str) -> DataFrame:
 def sta33_balance(spark: SparkSession, sf: str) -> DataFrame:
     """Each product's response rate, from its number, over its percentage of strong mentions."""
     rows = _signals(spark, sf).groupBy("drug").agg(F.sum("a").alias("n"), F.sum(F.when(F.col("strength") == "STRONG", F.col("a")).otherwise(0)).alias("severe"))
-    ratio, band = assessment.balance(F.regexp_extract("drug", "([0-9]+)", 1).cast("int") * 2 + 20.0, 100.0 * F.col("severe") / F.col("n"))
+    ratio, band = assessment.balance(F.regexp_extract("drug", "([0-9]+)", 1).cast("int") * 2 + 20.37, 100.0 * F.col("severe") / F.col("n"))
     return rows.select("drug", "n", "severe", ratio.alias("ratio"), band.alias("band"))
 
 
@@ -73,7 +73,7 @@ def sta48_worry(spark: SparkSession, sf: str) -> DataFrame:
 
 def agg25_special_interest(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of events of special interest (regions; narrow terms are nations with even keys) of the products 1x and 2x."""
-    rows = dma.pair_counts(mentions(spark, sf, MONTH)).where(F.col("drug").rlike("#[12]"))
+    rows = dma.pair_counts(mentions(spark, sf, fine=True)).where(F.col("drug").rlike("#[12]"))
     rows = rows.join(F.broadcast(_nations(spark, sf)), "event").withColumn("level", assessment.brighton(F.col("n_nationkey") % 2 == 0, F.col("a")))
     return rows.groupBy("n_regionkey").agg(
         F.sum("a").alias("reports"), F.countDistinct("drug").alias("vaccines"), F.min("level").alias("best_level"), assessment.top_list(F.concat_ws(" ", "drug", "event"), F.col("a"), 5).alias("largest"),
@@ -121,14 +121,14 @@ def len25_register(spark: SparkSession, sf: str) -> DataFrame:
 def len32_features(spark: SparkSession, sf: str) -> DataFrame:
     """Feature rows of product, event and cohort (flagged or not): shares, one-hot region, and the pair's measures."""
     p = posts(spark, sf).select("post", "region", "ae_flag", "author", (F.col("severity") == "1-URGENT").cast("double").alias("urgent"))
-    m = mentions(spark, sf, MONTH)
+    m = mentions(spark, sf, fine=True)
     hot = [F.sum((F.col("region") == r).cast("long")).alias(f"in_{r.lower().replace(' ', '_')}") for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]
     by = m.join(p, "post").groupBy("drug", "event", "ae_flag").agg(F.count("*").alias("n"), F.countDistinct("author").alias("authors"), F.round(F.avg("urgent"), 4).alias("urgent_share"), *hot)
     return by.join(dma.disproportionality(m).select("drug", "event", "prr", "ic025"), ["drug", "event"])
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    m = mentions(spark, sf, MONTH).join(posts(spark, sf).select("post", "region"), "post")
+    m = mentions(spark, sf, fine=True).join(posts(spark, sf).select("post", "region"), "post")
     d, e = F.col("drug"), F.col("event")
     return assessment.typed_edges((m, d, "CAUSES", e), (m, e, "BELONGS_TO", F.col("soc")), (m, d, "IN_CLASS", F.substring("drug", 1, 7)), (m, e, "SEEN_IN", F.col("region")))
 
@@ -232,7 +232,7 @@ def agg12_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 def agg18_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Per pair: its posts in order of time, its countries, its first and last day."""
-    rows = mentions(spark, sf, MONTH).join(posts(spark, sf), "post")
+    rows = mentions(spark, sf, fine=True).join(posts(spark, sf), "post")
     ordered = F.array_sort(F.collect_list(F.struct("posted_at", "post")))
     return rows.groupBy("drug", "event").agg(F.array_join(F.transform(ordered, lambda s: s["post"].cast("string")), ",").alias("posts"), F.array_join(F.array_sort(F.collect_set("country")), ",").alias("countries"), F.min("posted_at").alias("first"), F.max("posted_at").alias("last"))
 
@@ -256,25 +256,25 @@ def nlp26_peers(spark: SparkSession, sf: str) -> DataFrame:
 def nlp30_expansion(spark: SparkSession, sf: str) -> DataFrame:
     """Queries of three words, their one- to three-word runs, and which of those are catalogue terms or their first words."""
     p = table(spark, sf, "part")
-    queries = p.where(F.col("p_partkey") % 10 == 3).select("p_partkey", F.split(F.concat_ws(" ", F.lower("p_type"), "p_name"), " ").alias("w"))
+    queries = p.select("p_partkey", F.split(F.concat_ws(" ", F.lower("p_type"), "p_name"), " ").alias("w"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
     terms = p.select(F.col("p_name").alias("term")).union(p.select(F.substring_index("p_name", " ", 1))).distinct()
-    hits = queries.select("p_partkey", F.explode(F.array_distinct(runs)).alias("term")).join(F.broadcast(terms), "term", "left_semi")
+    hits = queries.select("p_partkey", F.explode(F.array_distinct(runs)).alias("term")).join(terms, "term", "left_semi")
     return hits.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
 
 
 def joi17_listed(spark: SparkSession, sf: str) -> DataFrame:
     """Signals whose event a list names, by equality or by containment of its first five letters, the first entry winning."""
     listed = _nations(spark, sf).where("n_nationkey % 4 = 1").select(F.substring("event", 1, 5).alias("word"), F.col("n_nationkey").alias("entry"))
-    rows = dma.pair_counts(mentions(spark, sf, MONTH))
+    rows = dma.pair_counts(mentions(spark, sf, fine=True))
     events = rows.select("event").distinct().join(F.broadcast(listed), F.col("event").contains(F.col("word"))).groupBy("event").agg(F.min("entry").alias("entry"))
     return rows.join(events, "event", "left").select("drug", "event", "a", "entry")
 
 
 def joi11_before_after(spark: SparkSession, sf: str) -> DataFrame:
-    """Measures of each pair in a month and in that month without the posts of one product."""
-    m = mentions(spark, sf, MONTH)
-    rest = dma.without_posts_of(m, m.where("drug = 'Brand#11'").select("drug").distinct())
+    """Measures of each pair, and without the posts of one brand."""
+    m = mentions(spark, sf, fine=True)
+    rest = dma.without_posts_of(m, m.where("drug like 'Brand#11/%'").select("drug").distinct())
     before, after = (dma.disproportionality(x).select("drug", "event", F.col("a").alias(f"a_{n}"), F.col("prr").alias(f"prr_{n}")) for x, n in ((m, "before"), (rest, "after")))
     return before.join(after, ["drug", "event"], "left")
 
@@ -308,7 +308,7 @@ def len37_longitudinal(spark: SparkSession, sf: str) -> DataFrame:
 def len38_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Signals with the gene entries that their product and system have, most actionable first."""
     genes = spark.createDataFrame([("1", 0, "G1", 2), ("1", 1, "G2", 1), ("2", 1, "G2", 3), ("2", 2, "G3", 1), ("2", 2, "G4", 2)], "family string, n_regionkey int, gene string, level int")
-    rows = dma.pair_counts(mentions(spark, sf, MONTH)).join(F.broadcast(_nations(spark, sf)), "event").withColumn("family", F.substring("drug", 7, 1))
+    rows = dma.pair_counts(mentions(spark, sf, fine=True)).join(F.broadcast(_nations(spark, sf)), "event").withColumn("family", F.substring("drug", 7, 1))
     hits = rows.join(F.broadcast(genes), ["family", "n_regionkey"]).groupBy("drug", "event").agg(assessment.top_list(F.col("gene"), -F.col("level"), 9).alias("genes"), F.min("level").alias("level"))
     return hits
 
@@ -333,7 +333,7 @@ def sup02_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 def sup04_verified(spark: SparkSession, sf: str) -> DataFrame:
     """Hash links recomputed after the rows of five-letter events were altered: altered rows and the links they break."""
-    rows = dma.disproportionality(mentions(spark, sf, MONTH)).select("drug", "event", "a")
+    rows = dma.disproportionality(mentions(spark, sf, fine=True)).select("drug", "event", "a")
     chain = reports.chain_links(rows, F.col("event"), ["drug", "event", "a"])
     altered = chain.select("drug", "event", F.when(F.length("event") == 5, F.col("a") + 1).otherwise(F.col("a")).alias("a"), F.col("content_hash").alias("was"), F.col("link_hash").alias("link_was"))
     again = reports.chain_links(altered, F.col("event"), ["drug", "event", "a"])
@@ -361,8 +361,8 @@ QUERIES = {f.__name__: f for f in (
     nlp22_ingredients, nlp26_peers, nlp30_expansion, joi17_listed, joi11_before_after, set06_areas, set01_sources, len37_longitudinal, len38_overlay, len30_segments, sup02_resolution, sup04_verified, snk10_snapshots, snk17_healed,
 )}
 
-_month = f"with bag as ({MONTH_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}"
-_edges_sql = f"""with bag as (select b.*, region from ({MONTH_BAG}) b join ({POSTS}) p using (post)), e as (select distinct drug as src, 'CAUSES' as relation, event as dst from bag union all select distinct event, 'BELONGS_TO', soc from bag
+_fine = f"with bag as ({FINE_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}"
+_edges_sql = f"""with bag as (select b.*, region from ({FINE_BAG}) b join ({POSTS}) p using (post)), e as (select distinct drug as src, 'CAUSES' as relation, event as dst from bag union all select distinct event, 'BELONGS_TO', soc from bag
 union all select distinct drug, 'IN_CLASS', substring(drug,1,7) from bag union all select distinct event, 'SEEN_IN', region from bag)"""
 _POINTS = "+".join(f"(case when (o_orderkey+{q})%3=0 then 0 when (o_orderkey//{q})%2=0 then {yes} else {no} end)" for q, (yes, no) in assessment.NARANJO.items())
 _YEARS = "case o_orderkey%7 when 0 then 10::double when 1 then 1::double when 2 then 1/12::double when 3 then 1/52::double when 4 then 1/365::double when 5 then 1/8760::double end"
@@ -381,10 +381,10 @@ def _vector(text: str) -> str:
 
 ORACLES = {
     "sta41_naranjo": f"with s as (select {_POINTS} as score from orders) select score, case when score>=9 then 'Definite' when score>=5 then 'Probable' when score>=1 then 'Possible' else 'Doubtful' end as category, count(*) as n from s group by all",
-    "sta32_verdict": f"""{_month}, r as (select drug, event, strength='STRONG' as crit, length(event)%3=0 as sure, round(1/greatest(1e-4::double, least(0.5::double, (case strength when 'STRONG' then 0.02::double when 'MODERATE' then 0.008::double else 0.002::double end)
+    "sta32_verdict": f"""{_fine}, r as (select drug, event, strength='STRONG' as crit, length(event)%3=0 as sure, round(1/greatest(1e-4::double, least(0.5::double, (case strength when 'STRONG' then 0.02::double when 'MODERATE' then 0.008::double else 0.002::double end)
 *(case when length(event)%3=0 then 1.5::double else 0.8::double end)*(1+least(a,60)/30::double))))::bigint as nnh from m), v as (select *, 0.8::double/12 as bu, 1.5::double/nnh as hu from r), w as (select *, bu/hu as q, bu/hu>=1.8::double and bu>hu as good from v)
 select drug, event, nnh, case when good and crit and sure and q<4 then 'Uncertain' when good then 'Favourable' when q>=0.8::double then 'Uncertain' else 'Unfavourable' end as verdict from w""",
-    "sta33_balance": f"""{_month}, s as (select drug, sum(a)::bigint as n, sum(case when strength='STRONG' then a else 0 end)::bigint as severe from m group by 1), r as (select *, round((regexp_extract(drug,'([0-9]+)',1)::int*2+20.0::double)/nullif(100.0::double*severe/n,0),2) as ratio from s)
+    "sta33_balance": f"""{_fine}, s as (select drug, sum(a)::bigint as n, sum(case when strength='STRONG' then a else 0 end)::bigint as severe from m group by 1), r as (select *, round((regexp_extract(drug,'([0-9]+)',1)::int*2+20.37::double)/nullif(100.0::double*severe/n,0),2) as ratio from s)
 select *, case when ratio is null then 'not evaluable' when ratio>=5 then 'strongly favourable' when ratio>=1.5::double then 'favourable' when ratio>=0.8::double then 'balanced' else 'unfavourable' end as band from r""",
     "sta35_trust": """with t as (select conv_id, lower(text) as t from conversations where length(text)>0), g as (select conv_id, list_distinct(list_transform(generate_series(1, greatest(length(t)-3,1)), lambda i: substring(t, i::int, 4))) as g from t),
 h as (select conv_id, i, list_min(list_transform(g, lambda x: md5(i::varchar||':'||x))) as h from g, generate_series(0,7) k(i)), s as (select conv_id, i, h, count(*) as n from h group by all), b as (select conv_id, i, sum(n) as n, sum(n*(n-1)) as agree from s group by all),
@@ -396,21 +396,21 @@ select conv_id, round(diversity,4) as diversity, score, case when score>=0.7::do
     "sta46_credibility": """with x as (select lang, quality=1 as t, n_chars>=600 as g from documents join labels using (doc_id)), c as (select lang, count(*) filter (where t and g) as tp, count(*) filter (where not t and g) as fp, count(*) filter (where t and not g) as fn from x group by 1),
 q as (select *, coalesce(tp::double/nullif(tp+fp,0),0) as p, coalesce(tp::double/nullif(tp+fn,0),0) as r, coalesce(2*tp::double/nullif(2*tp+fp+fn,0),0) as f from c)
 select lang, tp, fp, fn, round(greatest(0::double, least(100::double, (0.55::double*f+0.20::double*p+0.15::double*r+0.10::double*(1-least(1::double,abs(p-r))))*100)),1) as credibility from q""",
-    "sta48_worry": f"""{_month}, x as (select *, {SDR_PRR} as sdr, a>=5 as spike, length(event)>8 as crit, strength='STRONG' as strong from m) select drug, event, case when (sdr and strong) or (spike and crit) or (strong and crit) then 'red' when sdr or strong or strength='MODERATE' or spike or crit then 'amber' else 'green' end as level from x""",
-    "agg25_special_interest": f"""with p as (select drug, event, count(*) as a from ({MONTH_BAG}) group by all having regexp_matches(drug,'#[12]')), x as (select p.*, n_regionkey, case when n_nationkey%2=0 and a>=4 then 1 when n_nationkey%2=0 then 2 else 3 end as level from p join nation on n_name=event)
+    "sta48_worry": f"""{_fine}, x as (select *, {SDR_PRR} as sdr, a>=5 as spike, length(event)>8 as crit, strength='STRONG' as strong from m) select drug, event, case when (sdr and strong) or (spike and crit) or (strong and crit) then 'red' when sdr or strong or strength='MODERATE' or spike or crit then 'amber' else 'green' end as level from x""",
+    "agg25_special_interest": f"""with p as (select drug, event, count(*) as a from ({FINE_BAG}) group by all having regexp_matches(drug,'#[12]')), x as (select p.*, n_regionkey, case when n_nationkey%2=0 and a>=4 then 1 when n_nationkey%2=0 then 2 else 3 end as level from p join nation on n_name=event)
 select n_regionkey, sum(a)::bigint as reports, count(distinct drug) as vaccines, min(level) as best_level, {_top("drug||' '||event", 'a desc', 5)} as largest from x group by 1""",
     "prd10_evidence_tier": """with x as (select source, case when regexp_matches(lower(coalesce(text,'')),'http|www') then 1 when regexp_matches(lower(coalesce(text,'')),'with|der |dans') then 2 else 3 end as tier from documents)
 select source, count(*) as n, count(*) filter (where tier=1) as n_first, round(avg(case tier when 1 then 1::double when 2 then 0.7::double else 0.35::double end),4) as weight from x group by 1""",
-    "len39_audit": f"{_month} " + " union all ".join(f"select drug, event, '{k}' as measure, {k}>={v} as passed from m" for k, v in {"a": 3, "prr": 2, "chi_square": 4, "ror_low": 1, "ic025": 0}.items()),
+    "len39_audit": f"{_fine} " + " union all ".join(f"select drug, event, '{k}' as measure, {k}>={v} as passed from m" for k, v in {"a": 3, "prr": 2, "chi_square": 4, "ror_low": 1, "ic025": 0}.items()),
     "len27_operations_score": f"""with b as (select region, count(*) as n, count(*) filter (where severity in ('1-URGENT','2-HIGH')) as urgent, count(*) filter (where severity in ('1-URGENT','2-HIGH') and not ae_flag) as open, count(*) filter (where ae_flag) as reviewed, count(*) filter (where length(country)>6) as documented from ({POSTS}) group by 1),
 q as (select *, open::double/nullif(urgent,0) as k from b), s as (select *, greatest(0, least(100, (case when k<=0.2::double then 35 when k<=0.5::double then 22 when k<1 then 10 else 0 end)+(case when reviewed>=10 then 25 when reviewed>=3 then 15 when reviewed>0 then 8 else 0 end)+(case when urgent=0 then 10 else floor(20*(1-k))::int end)+floor(10*documented::double/n)::int))::bigint as score from q)
 select region, urgent, open, score, case when score>=70 then 'healthy' when score>=40 then 'needs_attention' else 'critical' end as state from s""",
-    "len25_register": f"""{_month}, r as (select drug, event, a, case when a>=2 then ic025 end as ic025, {_STATE_LIST}[length(event)%5+1] as state from m)
+    "len25_register": f"""{_fine}, r as (select drug, event, a, case when a>=2 then ic025 end as ic025, {_STATE_LIST}[length(event)%5+1] as state from m)
 select *, case state when 'new' then 'under_evaluation,rejected' when 'under_evaluation' then 'validated,rejected' when 'validated' then 'prioritized,rejected' when 'prioritized' then 'assessed,rejected' else 'closed,rejected' end as next from r order by ic025 desc nulls last, a desc, drug, event limit 40""",
-    "len32_features": f"""{_month}, f as (select drug, event, ae_flag, count(*) as n, count(distinct author) as authors, round(avg((severity='1-URGENT')::int),4) as urgent_share, {', '.join(f"count(*) filter (where region='{r}') as in_{r.lower().replace(' ', '_')}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))}
+    "len32_features": f"""{_fine}, f as (select drug, event, ae_flag, count(*) as n, count(distinct author) as authors, round(avg((severity='1-URGENT')::int),4) as urgent_share, {', '.join(f"count(*) filter (where region='{r}') as in_{r.lower().replace(' ', '_')}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))}
 from bag join ({POSTS}) using (post) group by all) select f.*, prr, ic025 from f join m using (drug, event)""",
     "gra03_typed_edges": f"{_edges_sql} select relation, count(*) as edges, count(distinct src) as sources, count(distinct dst) as targets from e group by 1",
-    "gra05_paths": f"""{_month}, w as (select distinct drug, event, soc from bag where event in (select event from bag join ({POSTS}) using (post) where region='ASIA'))
+    "gra05_paths": f"""{_fine}, w as (select distinct drug, event, soc from bag where event in (select event from bag join ({POSTS}) using (post) where region='ASIA'))
 select drug, event, soc, prr, strength, round(prr+case strength when 'STRONG' then 30 when 'MODERATE' then 20 else 10 end,3) as score from w join m using (drug, event) order by score desc, drug, event limit 20""",
     "gra06_options": f"""{_edges_sql}, x as (select distinct relation, 'src' as "end", src as label from e union select distinct relation, 'dst', dst from e) select relation, "end", string_agg(label, ',' order by label) as options from x group by all""",
     "mla06_spans": """with g as (select l_orderkey as doc, l_linenumber*20 as s, l_linenumber*20+8 as t, case when l_partkey%2=0 then 'drug' else 'event' end as kind, l_partkey as k from lineitem),
@@ -430,24 +430,24 @@ select unit, count(age) as n, round(max(age),4) as oldest, min(case when age is
     "agg07_top_labels": "select split_part(p_name,' ',-1) as label, sum(l_quantity) as n from lineitem join part on l_partkey=p_partkey group by 1 order by n desc, label limit 8",
     "agg12_detection": """with x as (select s_nationkey, date_diff('day', o_orderdate, l_shipdate) as d from lineitem join orders on l_orderkey=o_orderkey join supplier on l_suppkey=s_suppkey)
 select s_nationkey, min(d) as least, max(d) as most, round(avg(d),2) as mean, count(*) filter (where d<=30) as within_30, round(avg(d) filter (where d<=30),3) as mean_30 from x group by 1""",
-    "agg18_evidence": f"select drug, event, string_agg(post::varchar, ',' order by posted_at, post) as posts, array_to_string(list_sort(list_distinct(list(country))), ',') as countries, min(posted_at) as first, max(posted_at) as last from ({MONTH_BAG}) join ({POSTS}) using (post) group by all",
+    "agg18_evidence": f"select drug, event, string_agg(post::varchar, ',' order by posted_at, post) as posts, array_to_string(list_sort(list_distinct(list(country))), ',') as countries, min(posted_at) as first, max(posted_at) as last from ({FINE_BAG}) join ({POSTS}) using (post) group by all",
     "nlp22_ingredients": f"with i as (select brand, ingredient, count(*) as n from (select p_brand as brand, unnest(string_split(p_name,' ')) as ingredient from part) group by all) select brand, {_top('ingredient', 'n desc', 4)} as main, count(*) as ingredients from i group by 1",
     "nlp26_peers": """with i as (select brand, ingredient, count(*) as n from (select p_brand as brand, unnest(string_split(p_name,' ')) as ingredient from part) group by all), m as (select brand, ingredient from i qualify row_number() over (partition by brand order by n desc, ingredient)=1)
 select *, count(*) over (partition by ingredient)-1 as peers from m""",
-    "nlp30_expansion": """with q as (select p_partkey, string_split(lower(p_type)||' '||p_name,' ') as w from part where p_partkey%10=3), r as (select distinct p_partkey, array_to_string(w[i:i+n-1],' ') as term from q, generate_series(1,3) a(n), generate_series(1,3) b(i) where i+n-1<=len(w)),
+    "nlp30_expansion": """with q as (select p_partkey, string_split(lower(p_type)||' '||p_name,' ') as w from part), r as (select distinct p_partkey, array_to_string(w[i:i+n-1],' ') as term from q, generate_series(1,3) a(n), generate_series(1,3) b(i) where i+n-1<=len(w)),
 t as (select p_name as term from part union select split_part(p_name,' ',1) from part) select p_partkey, string_agg(term, ',' order by term) as terms from r where term in (select term from t) group by 1""",
-    "joi17_listed": f"with p as (select drug, event, count(*) as a from ({MONTH_BAG}) group by all), e as (select event, min(n_nationkey) as entry from (select distinct event from p) join nation on n_nationkey%4=1 and contains(event, substring(n_name,1,5)) group by 1) select p.*, entry from p left join e using (event)",
-    "joi11_before_after": f"""{_month}, rest as (select * from bag where post not in (select post from bag where drug='Brand#11')), {sql_cells('rest', 'rc')}, {sql_measures('rc', 'rm')}
+    "joi17_listed": f"with p as (select drug, event, count(*) as a from ({FINE_BAG}) group by all), e as (select event, min(n_nationkey) as entry from (select distinct event from p) join nation on n_nationkey%4=1 and contains(event, substring(n_name,1,5)) group by 1) select p.*, entry from p left join e using (event)",
+    "joi11_before_after": f"""{_fine}, rest as (select * from bag where post not in (select post from bag where drug like 'Brand#11/%')), {sql_cells('rest', 'rc')}, {sql_measures('rc', 'rm')}
 select m.drug, m.event, m.a as a_before, m.prr as prr_before, rm.a as a_after, rm.prr as prr_after from m left join rm on m.drug=rm.drug and m.event=rm.event""",
     "set06_areas": f"with p as ({POSTS}) select country, count(*) filter (where not ae_flag) as base, count(*) filter (where ae_flag and severity='1-URGENT') as cases from p group by 1 having base+cases>0",
     "set01_sources": "select 'events' as source, event_type as kind, count(*) as n from events group by all union all select 'orders', o_orderstatus, count(*) from orders group by all union all select 'conversations', role, count(*) from conversations group by all",
     "len37_longitudinal": """with b as (select p_brand, year(o_orderdate) as year, count(distinct l_orderkey) as n, round(avg(date_diff('day', o_orderdate, l_shipdate)),3) as onset from lineitem join part on l_partkey=p_partkey join orders on l_orderkey=o_orderkey where p_brand like 'Brand#1_' group by all)
 select *, n-lag(n) over (partition by p_brand order by year) as change from b""",
-    "len38_overlay": f"""with g(family, rk, gene, level) as (values ('1',0,'G1',2),('1',1,'G2',1),('2',1,'G2',3),('2',2,'G3',1),('2',2,'G4',2)), p as (select distinct drug, event from ({MONTH_BAG}))
+    "len38_overlay": f"""with g(family, rk, gene, level) as (values ('1',0,'G1',2),('1',1,'G2',1),('2',1,'G2',3),('2',2,'G3',1),('2',2,'G4',2)), p as (select distinct drug, event from ({FINE_BAG}))
 select drug, event, {_top('gene', 'level', 9)} as genes, min(level) as level from p join nation on n_name=event join g on rk=n_regionkey and family=substring(drug,7,1) group by all""",
     "len30_segments": f"""with p as ({POSTS}), b as (select avg(ae_flag::int) as base from p), s as (select region, severity, count(*) as n, round(avg(ae_flag::int),4) as risk from p group by all having n>=12), r as (select s.*, round(risk/greatest(base,0.05::double),3) as ratio from s, b) select * from r where risk>=0.5::double or ratio>=1.01::double""",
-    "sup02_resolution": f"with p as (select drug, event, count(*) as a, length(event)%6+1 as k from ({MONTH_BAG}) group by all) select {_STATE_LIST}[k] as state, {_STATE_LIST}[least(k+(a>=2)::int,6)] as after, count(*) as n, count(*) filter (where a>=2) as acked from p group by all",
-    "sup04_verified": f"""with p as (select drug, event, count(*) as a from ({MONTH_BAG}) group by all), x as (select *, length(event)=5 as bad from p), y as (select *, coalesce(lag(bad) over (partition by drug order by event), false) as before from x)
+    "sup02_resolution": f"with p as (select drug, event, count(*) as a, length(event)%6+1 as k from ({FINE_BAG}) group by all) select {_STATE_LIST}[k] as state, {_STATE_LIST}[least(k+(a>=2)::int,6)] as after, count(*) as n, count(*) filter (where a>=2) as acked from p group by all",
+    "sup04_verified": f"""with p as (select drug, event, count(*) as a from ({FINE_BAG}) group by all), x as (select *, length(event)=5 as bad from p), y as (select *, coalesce(lag(bad) over (partition by drug order by event), false) as before from x)
 select drug, count(*) filter (where bad) as altered, count(*) filter (where bad or before) as broken from y group by 1""",
     "snk10_snapshots": "with t as (select event_type, date_trunc('week', ts)::date as week, hour(ts)>=12 as late, count(*) as n from events group by all) select event_type, week, arg_max(n, late) as n from t group by all",
     "snk17_healed": "select case when o_custkey%5 in (1,2,3) then o_custkey%5 else 0 end as scope, count(*) as n, count(*) filter (where o_custkey%5 in (0,4)) as healed from orders group by 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon.operators import dma, models, scores
 from quillon.sources.tables import mentions, posts, table
 
-from .signals import BAG, MONTH, MONTH_BAG, POSTS, sql_cells, sql_measures
+from .signals import BAG, FINE_BAG, POSTS, sql_cells, sql_measures
 
 
 def _cues() -> dict:
@@ -37,10 +37,10 @@ def sta43_threads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sta44_triangulation(spark: SparkSession, sf: str) -> DataFrame:
-    signal = dma.disproportionality(mentions(spark, sf, MONTH))
-    all_time = dma.pair_counts(mentions(spark, sf)).withColumnRenamed("a", "reports")
-    rows = signal.join(all_time, ["drug", "event"])
-    score, tier = scores.triangulation(F.col("strength"), F.col("prr"), F.col("chi_square"), F.col("a"), F.col("reports") >= 150, F.col("reports") - 90, F.col("a"))
+    signal = dma.disproportionality(mentions(spark, sf, fine=True))
+    all_time = dma.pair_counts(mentions(spark, sf)).select(F.col("drug").alias("brand"), "event", F.col("a").alias("reports"))
+    rows = signal.withColumn("brand", F.substring_index("drug", "/", 1)).join(all_time, ["brand", "event"])
+    score, tier = scores.triangulation(F.col("strength"), F.col("prr"), F.col("chi_square"), F.col("a"), F.col("reports") >= 150, F.col("reports") - 90, F.col("a"), 8)
     return rows.select("drug", "event", "reports", score.alias("score"), tier.alias("tier"))
 
 
@@ -91,7 +91,7 @@ def agg27_evidence_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 def joi04_last_exposure(spark: SparkSession, sf: str) -> DataFrame:
     """Each person's last product, and the events of their posts by it."""
-    rows = mentions(spark, sf, MONTH).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("post"), F.col("o_custkey").alias("person")), "post")
+    rows = mentions(spark, sf, fine=True).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("post"), F.col("o_custkey").alias("person")), "post")
     last = rows.groupBy("person").agg(F.max_by("drug", F.struct("post", "drug")).alias("drug"))
     return rows.select("person", "event").distinct().join(last, "person").groupBy("drug", "event").agg(F.count("*").alias("n"))
 
@@ -160,10 +160,10 @@ select category, case when o_totalprice>150000 and category in ('Certain','Proba
     "sta43_threads": f"""with p as ({POSTS}), b as (select author, count(*) as n, count(*) filter (where ae_flag) as ae, count(*) filter (where ae_flag and severity!='5-LOW') as yes, count(*) filter (where not ae_flag and severity='5-LOW') as no from p group by 1),
 c as (select *, round(greatest(0::double,least(1::double,0.35::double+0.55::double*((yes-0.6::double*no)/n)+0.1::double*ae/n)),3) as confidence from b)
 select author, n, confidence, case when confidence>=0.72 and yes>=2 and no<=floor(yes/2) then 'Red' when confidence>=0.45 or (ae>=2 and yes>=1) then 'Amber' else 'Green' end as rating from c""",
-    "sta44_triangulation": f"""with bag as ({MONTH_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}, f as (select drug, event, count(*) as reports from ({BAG}) group by all), j as (select * from m join f using (drug, event)),
+    "sta44_triangulation": f"""with bag as ({FINE_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}, f as (select drug as brand, event, count(*) as reports from ({BAG}) group by all), j as (select m.*, reports from m join f on split_part(m.drug,'/',1)=f.brand and m.event=f.event),
 s as (select *, case when {_SOCIAL} then least(1::double,0.45::double+0.15::double*least(prr/5,1::double)+0.2::double*(case when strength='STRONG' then 1::double else 0.5::double end)) when prr>=1.5 and a>=2 then 0.35::double when a>=1 then 0.15::double else 0 end as so,
 case when reports>=150 and reports-90>=10 then 0.95::double when {_REG} then 0.75::double when reports-90>=1 then 0.4::double else 0 end as re, case when a>=3 then least(1::double,a/10.0::double) else 0 end as w from j)
-select drug, event, reports, round(least(1::double,0.35::double*so+0.4::double*re+0.25::double*w+case when {_SOCIAL} and {_REG} and a>=3 then 0.12::double else 0 end),6) as score,
+select drug, event, reports, round(least(1::double,0.35::double*so+0.4::double*re+0.25::double*w+case when {_SOCIAL} and {_REG} and a>=3 then 0.12::double else 0 end),8) as score,
 case when {_SOCIAL} and {_REG} and a>=3 then 'CRITICAL_URGENT' when {_SOCIAL} and {_REG} then 'HIGH_EARLY_WARNING' when {_SOCIAL} and a<3 then 'EMERGENT_CHATTER' when {_REG} and not {_SOCIAL} then 'REGULATORY_ONLY' else 'INSUFFICIENT' end as tier from s""",
     "sta24_risk_elevation": f"""with b as (select region, country, count(*) as n, count(*) filter (where ae_flag) as a from ({POSTS}) group by all), c as (select region, sum(n) as cn, sum(a) as ca from b group by 1)
 select region, country, n, a, round(((a+0.5::double)/(n+1))/((ca+0.5::double)/(cn+1)),3) as rem from b join c using (region)""",
@@ -175,7 +175,7 @@ select *, round(((n_risk+0.5::double)/7)/((n_control+0.5::double)/23),2) as rela
     "agg21_enum": "select s as state, count(o_orderkey) as n from unnest(['F','O','P','R','X']) t(s) left join orders on o_orderstatus=s group by 1",
     "agg27_evidence_mix": f"""with p as (select region, case when severity in ('1-URGENT','2-HIGH') then 1 when severity='3-MEDIUM' then 2 else 3 end as t from ({POSTS}))
 select region, count(*) filter (where t=1) as l1, count(*) filter (where t=2) as l2, count(*) filter (where t=3) as l3, round(avg(case t when 1 then 1::double when 2 then 0.7::double else 0.35::double end),3) as weight from p group by 1""",
-    "joi04_last_exposure": f"""with b as (select x.*, o_custkey as person from ({MONTH_BAG}) x join orders on o_orderkey=post), l as (select person, first(drug order by post desc, drug desc) as drug from b group by 1)
+    "joi04_last_exposure": f"""with b as (select x.*, o_custkey as person from ({FINE_BAG}) x join orders on o_orderkey=post), l as (select person, first(drug order by post desc, drug desc) as drug from b group by 1)
 select drug, event, count(*) as n from (select distinct person, event from b) join l using (person) group by all""",
     "joi06_precedence": "select p_brand, p_partkey, p_size from part qualify row_number() over (partition by p_brand order by p_size, p_partkey)=1",
     "joi19_nearest": """with x as (select label, unnest(embedding) as v, generate_subscripts(embedding,1) as i from embeddings), c as (select label, list(v order by i) as c from (select label, i, avg(v::double) as v from x group by all) group by 1),

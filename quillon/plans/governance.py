@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import dma
 from quillon.sources.tables import mentions, posts, table
 
-from .signals import BAG, MONTH, MONTH_BAG, POSTS, sql_cells, sql_measures
+from .signals import BAG, FINE_BAG, MONTH, MONTH_BAG, POSTS, sql_cells, sql_measures
 
 #: Fixed moves between states of a signal's life.
 MOVES = {
@@ -22,9 +22,9 @@ MOVES = {
 
 def len23_label_gap(spark: SparkSession, sf: str) -> DataFrame:
     """Tier of each signal against what labels list: boxed before listed before novel (product known) before unknown."""
-    rows = dma.pair_counts(mentions(spark, sf, MONTH))
+    rows = dma.pair_counts(mentions(spark, sf, fine=True))
     nation = table(spark, sf, "nation").select(F.col("n_name").alias("event"), "n_nationkey")
-    known = mentions(spark, sf).where(F.substring("drug", -1, 1).isin("1", "2", "3")).select("drug").distinct()
+    known = mentions(spark, sf, fine=True).where(F.substring("drug", -1, 1).isin("1", "2", "3")).select("drug").distinct()
     out = rows.join(nation, "event").join(known.withColumn("known", F.lit(True)), "drug", "left")
     tier = F.when(F.col("known") & (F.col("n_nationkey") % 6 == 0), "boxed").when(F.col("known") & (F.col("n_nationkey") % 3 == 0), "in_label").when(F.col("known"), "novel").otherwise("unknown")
     return out.select("drug", "event", "a", tier.alias("tier"))
@@ -48,7 +48,7 @@ def agg16_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def agg24_worst_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """The worst verdict of each product and system, and the events that have it."""
-    rows = dma.disproportionality(mentions(spark, sf, MONTH))
+    rows = dma.disproportionality(mentions(spark, sf, fine=True))
     soc = mentions(spark, sf).select("event", "soc").distinct()
     rank = F.when(F.col("strength") == "STRONG", 1).when(F.col("strength") == "MODERATE", 2).otherwise(3)
     ranked = rows.join(soc, "event").withColumn("rank", rank)
@@ -58,7 +58,7 @@ def agg24_worst_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 def sta31_benefit_risk(spark: SparkSession, sf: str) -> DataFrame:
     """Number needed to harm, hazard and benefit units, and the verdict of their ratio."""
-    rows = dma.disproportionality(mentions(spark, sf, MONTH))
+    rows = dma.disproportionality(mentions(spark, sf, fine=True))
     risk = F.when(F.col("strength") == "STRONG", 0.02).when(F.col("strength") == "MODERATE", 0.005).otherwise(0.001) * (1 + F.least("a", F.lit(60)) / 30)
     rows = rows.select("drug", "event", "a", F.round(1 / F.greatest(F.lit(1e-4), F.least(F.lit(0.5), risk))).cast("long").alias("nnh"))
     benefit, harm = F.lit(0.8 / 40), 1.0 / F.col("nnh")
@@ -77,8 +77,8 @@ def win12_yearly(spark: SparkSession, sf: str) -> DataFrame:
 
 def joi07_supporting(spark: SparkSession, sf: str) -> DataFrame:
     """Posts that support a strong signal, each with how many it supports."""
-    strong = dma.disproportionality(mentions(spark, sf, MONTH)).where("strength = 'STRONG'").select("drug", "event")
-    return mentions(spark, sf, MONTH).join(strong, ["drug", "event"], "left_semi").groupBy("post").agg(F.count("*").alias("n"))
+    strong = dma.disproportionality(mentions(spark, sf, fine=True)).where("strength = 'STRONG'").select("drug", "event")
+    return mentions(spark, sf, fine=True).join(strong, ["drug", "event"], "left_semi").groupBy("post").agg(F.count("*").alias("n"))
 
 
 def joi22_fallback(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,20 +114,20 @@ QUERIES = {f.__name__: f for f in (
     len23_label_gap, len26_lifecycle, agg16_coverage, agg24_worst_verdict, sta31_benefit_risk, win12_yearly, joi07_supporting, joi22_fallback, prd05_gates, str_session_windows, str_sliding_windows,
 )}
 
-_month = f"with bag as ({MONTH_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}"
+_fine = f"with bag as ({FINE_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}"
 _STATES = "['new','under_evaluation','validated','prioritized','assessed','closed','rejected']"
 ORACLES = {
-    "len23_label_gap": f"""with m as (select drug, event, count(*) as a from ({MONTH_BAG}) group by all), k as (select distinct drug from ({BAG}) where right(drug,1) in ('1','2','3'))
+    "len23_label_gap": f"""with m as (select drug, event, count(*) as a from ({FINE_BAG}) group by all), k as (select distinct drug from ({FINE_BAG}) where right(drug,1) in ('1','2','3'))
 select m.drug, event, a, case when k.drug is not null and n_nationkey%6=0 then 'boxed' when k.drug is not null and n_nationkey%3=0 then 'in_label' when k.drug is not null then 'novel' else 'unknown' end as tier from m join nation on n_name=event left join k on k.drug=m.drug""",
     "len26_lifecycle": f"""with x as (select {_STATES}[o_orderkey%7+1] as state, {_STATES}[o_custkey%7+1] as wanted from orders)
 select state, count(*) as n, count(*) filter (where (state in ('new','under_evaluation','validated','prioritized','assessed') and wanted='rejected') or (state,wanted) in (('new','under_evaluation'),('under_evaluation','validated'),('validated','prioritized'),('prioritized','assessed'),('assessed','closed'))) as n_legal from x group by 1""",
     "agg16_coverage": f"with p as ({POSTS}) select 'ae' as dimension, round(avg(ae_flag::int),4) as coverage from p union all select 'urgent', round(avg((severity='1-URGENT')::int),4) from p union all select 'asia', round(avg((region='ASIA')::int),4) from p",
-    "agg24_worst_verdict": f"""{_month}, s as (select distinct n_name as event, r_name as soc from nation join region on n_regionkey=r_regionkey), r as (select drug, soc, event, case strength when 'STRONG' then 1 when 'MODERATE' then 2 else 3 end as rank from m join s using (event)),
+    "agg24_worst_verdict": f"""{_fine}, s as (select distinct n_name as event, r_name as soc from nation join region on n_regionkey=r_regionkey), r as (select drug, soc, event, case strength when 'STRONG' then 1 when 'MODERATE' then 2 else 3 end as rank from m join s using (event)),
 w as (select *, min(rank) over (partition by drug, soc) as least from r) select drug, soc, rank, string_agg(event, ',' order by event) as events from w where rank=least group by all""",
-    "sta31_benefit_risk": f"""{_month}, r as (select drug, event, round(1/greatest(1e-4::double, least(0.5::double, (case strength when 'STRONG' then 0.02::double when 'MODERATE' then 0.005::double else 0.001::double end)*(1+least(a,60)/30::double))))::bigint as nnh from m),
+    "sta31_benefit_risk": f"""{_fine}, r as (select drug, event, round(1/greatest(1e-4::double, least(0.5::double, (case strength when 'STRONG' then 0.02::double when 'MODERATE' then 0.005::double else 0.001::double end)*(1+least(a,60)/30::double))))::bigint as nnh from m),
 v as (select *, 0.8::double/40 as bu, 1::double/nnh as hu from r) select drug, event, nnh, round(100*(bu-hu),4) as score, case when bu/hu>=1.8::double and round(100*(bu-hu),4)>0 then 'Favourable' when bu/hu>=0.8::double then 'Uncertain' else 'Unfavourable' end as verdict from v""",
     "win12_yearly": f"with b as (select floor((date '2001-08-01'-posted_at)/365.0::double)::bigint as years_ago, count(*) as n, count(*) filter (where ae_flag) as n_ae from ({POSTS}) group by 1), t as (select sum(n)::double as t, count(*) as k from b) select years_ago, n, n_ae, round(n-(t-n)/(k-1),3) as beyond_rest from b, t",
-    "joi07_supporting": f"{_month} select post, count(*) as n from bag join m using (drug, event) where strength='STRONG' group by 1",
+    "joi07_supporting": f"{_fine} select post, count(*) as n from bag join m using (drug, event) where strength='STRONG' group by 1",
     "joi22_fallback": f"with x as (select drug, event, count(*) as a, 1 as priority from ({MONTH_BAG}) group by all union all select drug, event, count(*), 2 from ({BAG}) group by all) select drug, event, first(a order by priority) as a, min(priority) as priority from x group by all",
     "prd05_gates": f"""with b as (select post, count(distinct drug) as drugs, count(distinct event) as events from ({BAG}) group by 1), p as (select x.*, coalesce(drugs,0) as drugs, coalesce(events,0) as events from ({POSTS}) x left join b using (post))
 select case when drugs=0 then 'no product' when events<2 then 'one event' when not ae_flag then 'not adverse' when severity='5-LOW' then 'low' else 'passed' end as gate, count(*) as n from p group by 1""",

@@ -13,7 +13,7 @@ from quillon.sources.tables import mentions, posts, table
 from quillon.streaming import ingest
 
 from .resolution import NEAR
-from .signals import BAG, MONTH, MONTH_BAG, POSTS, sql_cells, sql_measures
+from .signals import BAG, FINE_BAG, POSTS, sql_cells, sql_measures
 
 #: Key of the pseudonyms of the queries here; a deployment gives its own.
 KEY = b"example key"
@@ -74,13 +74,15 @@ def prd09_platforms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prd12_soft_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Signals whose event matches a word softly: "UNITED" lies within two names, "iran islamic" holds none of five letters."""
-    rows = dma.pair_counts(mentions(spark, sf))
-    return rows.where(hygiene.soft_match(F.col("event"), F.lit("United")) | hygiene.soft_match(F.col("event"), F.lit("greater china")) | hygiene.folded_match(F.col("event"), F.lit("saudi-arabia."))).select("drug", "event", "a")
+    """Signals whose event matches a term softly: "nation_1" lies within eleven names, two names lie within "the
+    nation_24 kingdom", "nation-7." is a name but for case and signs, and four letters match nothing."""
+    rows, e = dma.pair_counts(mentions(spark, sf)), F.col("event")
+    soft = hygiene.soft_match(e, F.lit("nation_1")) | hygiene.soft_match(e, F.lit("the nation_24 kingdom")) | hygiene.soft_match(e, F.lit("nati"))
+    return rows.where(soft | hygiene.folded_match(e, F.lit("nation-7."))).select("drug", "event", "a")
 
 
 def prd17_severity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dma.disproportionality(mentions(spark, sf, MONTH))
+    rows = dma.disproportionality(mentions(spark, sf, fine=True))
     given = F.when(F.length("event") % 2 == 0, "Critical")
     return rows.groupBy(hygiene.severity_bucket(given, F.col("strength")).alias("severity")).agg(F.count("*").alias("n"), F.sum("a").alias("a"))
 
@@ -136,14 +138,16 @@ def sup22_workspaces(spark: SparkSession, sf: str) -> DataFrame:
 
 def sup34_spotlight(spark: SparkSession, sf: str) -> DataFrame:
     """The signal of each system with the highest PRR, then the most mentions."""
-    rows = dma.disproportionality(mentions(spark, sf, MONTH)).join(mentions(spark, sf, MONTH).select("event", "soc").distinct(), "event")
+    rows = dma.disproportionality(mentions(spark, sf, fine=True)).join(mentions(spark, sf, fine=True).select("event", "soc").distinct(), "event")
     return dma.ranked(rows, ["soc"], [F.desc("prr"), F.desc("a"), "drug", "event"], 1).select("soc", "drug", "event", "prr", "a")
 
 
 def snk12_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Signals of a month that the month before did not have: the entries to append."""
-    before, now = (dma.pair_counts(mentions(spark, sf, m)) for m in ("1996-02", MONTH))
-    return now.join(before.select("drug", "event"), ["drug", "event"], "left_anti").select("drug", "event", "a")
+    """The entries that each month appends: its pairs that the month before did not have."""
+    month = posts(spark, sf).select("post", F.trunc("posted_at", "month").alias("month"))
+    now = mentions(spark, sf).join(month, "post").groupBy("month", "drug", "event").agg(F.count("*").alias("a"))
+    before = now.select(F.add_months("month", 1).alias("month"), "drug", "event")
+    return now.join(before, ["month", "drug", "event"], "left_anti")
 
 
 def snk13_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +163,7 @@ def _folder(spark: SparkSession) -> str:
 
 def snk14_export(spark: SparkSession, sf: str) -> DataFrame:
     """Signals written as JSON lines and as CSV and read back."""
-    rows, out = dma.pair_counts(mentions(spark, sf, MONTH)), f"{_folder(spark)}/export-{uuid.uuid4().hex}"
+    rows, out = dma.pair_counts(mentions(spark, sf, fine=True)), f"{_folder(spark)}/export-{uuid.uuid4().hex}"
     rows.write.json(f"{out}/json")
     rows.write.option("header", True).csv(f"{out}/csv")
     schema = "drug string, event string, a long"
@@ -198,7 +202,7 @@ QUERIES = {f.__name__: f for f in (
 _INNER, _OUTER = (bytes(b ^ pad for b in KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
 _FOLD = "upper(regexp_replace({0},'[^A-Za-z0-9]','','g'))"
 _TOKENS = "list_filter(string_split_regex(lower(coalesce(text,'')),'[^a-z0-9]+'), lambda t: t<>'')"
-_month = f"with bag as ({MONTH_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}"
+_fine = f"with bag as ({FINE_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}"
 _KNOWN = "('the','der','with','dans','for')"
 ORACLES = {
     "sca19_pseudonyms": f"""with x as (select c_custkey, case when c_custkey%5=0 then md5(c_name) else c_name end as n from customer)
@@ -210,8 +214,8 @@ select c_custkey, case when regexp_matches(n,'^[0-9a-f]{{32,64}}$') then n else
     "prd06_concepts": f"with p as (select post, count(distinct drug) as drugs, count(distinct substring(drug,1,7)) as concepts from ({BAG}) group by 1) select drugs::int as drugs, concepts::int as concepts, count(*) as n from p group by all",
     "prd08_confidence": "with x as (select event_type, round(least(0.99::double, abs((value-50)/64)*0.9::double+0.1::double),3) as s from events) select event_type, max(s) as most, min(s) as least, count(*) filter (where s>=0.5::double) as n_sure from x group by 1",
     "prd09_platforms": """with x as (select source||case doc_id%4 when 0 then '' when 1 then '/feed' when 2 then '_old' else 'x' end as platform from documents) select platform, count(*) as n from x where regexp_matches(platform,'^(src1|src2)($|[/_])') group by 1""",
-    "prd12_soft_match": f"select drug, event, count(*) as a from ({BAG}) where contains(event,'UNITED') or event='CHINA' or {_FOLD.format('event')}='SAUDIARABIA' group by all",
-    "prd17_severity": f"{_month} select case when length(event)%2=0 then 'Critical' when strength='STRONG' then 'High' when strength='MODERATE' then 'Medium' else 'Low' end as severity, count(*) as n, sum(a)::bigint as a from m group by 1",
+    "prd12_soft_match": f"select drug, event, count(*) as a from ({BAG}) where contains(lower(event),'nation_1') or contains('the nation_24 kingdom',lower(event)) or {_FOLD.format('event')}='NATION7' group by all",
+    "prd17_severity": f"{_fine} select case when length(event)%2=0 then 'Critical' when strength='STRONG' then 'High' when strength='MODERATE' then 'Medium' else 'Low' end as severity, count(*) as n, sum(a)::bigint as a from m group by 1",
     "nlp12_gateway": f"""with t as (select doc_id, {_TOKENS} as w from documents), x as (select doc_id, unnest(w) as t, generate_subscripts(w,1) as i, w from t), k as (select doc_id, t, min(i) as i from x where t in {_KNOWN} and not list_has_any(coalesce(w[greatest(i-3,1):i-1],[]), ['of','and','die']) group by all)
 select t.doc_id, coalesce(string_agg(k.t, ',' order by k.i),'') as passed from t left join k using (doc_id) group by 1""",
     "nlp32_tiers": """with p as (select distinct case p_partkey%3 when 0 then upper(p_name) when 1 then lower(p_type)||' '||p_name||' of steel' else 'old '||split_part(p_name,' ',-1)||'s' end as term from part), c as (select p_name as entry from part union select split_part(p_name,' ',1) from part),
@@ -223,10 +227,11 @@ select term, entry, case when entry is null then null when exact then 1 else 2 e
     "sup12_labels": f"""with x as (select case when p_partkey%2=0 then array_to_string(list_transform(string_split(p_name,' '), lambda w: upper(w[1])||w[2:]),' ') else replace(p_name,' ','-') end as label from part)
 select {_FOLD.format('label')} as key, min(label) as label, count(distinct label) as spellings from x group by 1""",
     "sup22_workspaces": f"with b as (select region, count(*) as n, count(distinct author) as authors, count(*) filter (where ae_flag) as n_ae, min(posted_at) as first, max(posted_at) as last from ({POSTS}) group by 1) select *, round(n::double/(select sum(n) from b)::double,4) as share from b",
-    "sup34_spotlight": f"{_month}, s as (select distinct event, soc from bag) select soc, drug, event, prr, a from m join s using (event) qualify row_number() over (partition by soc order by prr desc, a desc, drug, event)=1",
-    "snk12_audit": f"with b as ({BAG} join orders o on o.o_orderkey=l.l_orderkey where o.o_orderdate >= timestamp '1996-02-01' and o.o_orderdate < timestamp '1996-03-01') select drug, event, count(*) as a from ({MONTH_BAG}) x where not exists (select 1 from b where b.drug=x.drug and b.event=x.event) group by all",
+    "sup34_spotlight": f"{_fine}, s as (select distinct event, soc from bag) select soc, drug, event, prr, a from m join s using (event) qualify row_number() over (partition by soc order by prr desc, a desc, drug, event)=1",
+    "snk12_audit": f"""with m as (select date_trunc('month',posted_at)::date as month, drug, event, count(*) as a from ({BAG}) join ({POSTS}) using (post) group by all)
+select * from m where not exists (select 1 from m y where y.month=(m.month - interval 1 month)::date and y.drug=m.drug and y.event=m.event)""",
     "snk13_columns": "select case when o_orderkey%2=0 then 'unknown' else o_orderpriority end as o_orderpriority, o_orderstatus, count(*) as n from orders group by all",
-    "snk14_export": f"select drug, event, count(*) as a, 2::bigint as takes from ({MONTH_BAG}) group by all",
+    "snk14_export": f"select drug, event, count(*) as a, 2::bigint as takes from ({FINE_BAG}) group by all",
     "str05_ingest": "with f as (select event_type, min(event_id) as e from events group by user_id, event_type, date_trunc('hour', ts)) select event_type, count(*) as added, max(e) as last from f group by 1",
     "str10_spikes": """with e as (select event_type, ts::date as day, count(*) as n from events group by all), z as (select *, count(*) over w as known, round((n-avg(n) over w)/greatest(stddev_pop(n) over w, sqrt(avg(n) over w), 1::double),3) as z from e window w as (partition by event_type order by day rows between unbounded preceding and 1 preceding))
 select event_type, count(*) as days, count(*) filter (where z>=1) as high, max(z) as most from z where known>=4 group by 1""",

@@ -9,7 +9,7 @@ from quillon.operators import dma, entities, sinks, texts
 from quillon.sources import feeds
 from quillon.sources.tables import mentions, posts, table
 
-from .signals import BAG, MONTH, MONTH_BAG, POSTS, sql_cells, sql_measures
+from .signals import BAG, FINE_BAG, MONTH, MONTH_BAG, POSTS, sql_cells, sql_measures
 
 
 def sca06_edit_ratio(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,8 +68,8 @@ def len43_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Month mentions as nested report documents in JSON, parsed again."""
-    rows = mentions(spark, sf, MONTH).groupBy("post").agg(F.collect_list("drug").alias("drugs"), F.collect_set("event").alias("reactions"))
+    """Mentions as nested report documents in JSON, parsed again."""
+    rows = mentions(spark, sf, fine=True).groupBy("post").agg(F.collect_list("drug").alias("drugs"), F.collect_set("event").alias("reactions"))
     return rows.select(F.col("post").alias("bundle"), F.to_json(F.struct("drugs", "reactions")).alias("json"))
 
 
@@ -82,8 +82,8 @@ def etl01_flatten(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def etl01_fhir(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers' orders as FHIR bundles: a patient, a medication by supplier of the month, an event that refers to it."""
-    rows = mentions(spark, sf, MONTH).groupBy("post").agg(F.min("drug").alias("drug"), F.max("event").alias("event"))
+    """Customers' orders as FHIR bundles: a patient, a medication, an event that refers to it."""
+    rows = mentions(spark, sf, fine=True).groupBy("post").agg(F.min("drug").alias("drug"), F.max("event").alias("event"))
     person, ref = F.concat(F.lit("p"), "post"), F.concat(F.lit("m"), "post")
     kind = lambda k: F.lit(k).alias("resourceType")
     subject = F.struct(F.concat(F.lit("Patient/"), person).alias("reference")).alias("subject")
@@ -102,9 +102,9 @@ def etl03_persons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def etl08_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of the month that the baseline (pairs of even brands) lists already."""
-    pairs = dma.pair_counts(mentions(spark, sf, MONTH))
-    base = mentions(spark, sf).where(F.substring("drug", -1, 1).isin("2", "4")).select("drug", "event").distinct().withColumn("listed", F.lit(True))
+    """Pairs that the baseline (pairs of products whose size ends in 2 or 4) lists already."""
+    pairs = dma.pair_counts(mentions(spark, sf, fine=True))
+    base = mentions(spark, sf, fine=True).where(F.substring("drug", -1, 1).isin("2", "4")).select("drug", "event").distinct().withColumn("listed", F.lit(True))
     return pairs.join(base, ["drug", "event"], "left").fillna(False, ["listed"])
 
 
@@ -130,7 +130,7 @@ def snk09_carry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snk11_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dma.disproportionality(mentions(spark, sf, MONTH))
+    rows = dma.disproportionality(mentions(spark, sf, fine=True))
     severity = F.when(F.col("a") >= 6, "Critical").when(F.col("a") >= 5, "High").otherwise("Low")
     return sinks.alerts(rows, severity, F.col("a") >= 4, F.col("ic025") > 0)
 
@@ -147,8 +147,8 @@ def snk16_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def set02_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics without the posts that mention an excluded product."""
-    gone = mentions(spark, sf, MONTH).where("drug in ('Brand#11', 'Brand#23')").select("drug").distinct()
-    return dma.disproportionality(dma.without_posts_of(mentions(spark, sf, MONTH), gone)).select("drug", "event", "a", "prr", "chi_square")
+    gone = mentions(spark, sf, fine=True).where("drug rlike '^Brand#(11|23)/'").select("drug").distinct()
+    return dma.disproportionality(dma.without_posts_of(mentions(spark, sf, fine=True), gone)).select("drug", "event", "a", "prr", "chi_square")
 
 
 def joi13_align(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +160,7 @@ def joi13_align(spark: SparkSession, sf: str) -> DataFrame:
 def len09_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Product by term group; a term may lie in several groups; totals are over all mentions."""
     members = table(spark, sf, "nation").select(F.col("n_name").alias("event"), F.explode(F.array(F.concat(F.lit("narrow-"), F.pmod("n_nationkey", F.lit(4))), F.concat(F.lit("broad-"), F.pmod("n_nationkey", F.lit(3))))).alias("grp"))
-    pairs = dma.pair_counts(mentions(spark, sf, MONTH))
+    pairs = dma.pair_counts(mentions(spark, sf, fine=True))
     both = pairs.join(members, "event").groupBy("drug", "grp").agg(F.sum("a").alias("a"))
     by_drug, by_group = pairs.groupBy("drug").agg(F.sum("a").alias("bd")), both.groupBy("grp").agg(F.sum("a").alias("be"))
     rows = both.join(by_drug, "drug").join(by_group, "grp").crossJoin(F.broadcast(pairs.agg(F.sum("a").alias("t"))))
@@ -170,7 +170,7 @@ def len09_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def len12_read_across(spark: SparkSession, sf: str) -> DataFrame:
     """Events that stand out for another product of the class and that a product lacks."""
-    rows = dma.disproportionality(mentions(spark, sf, MONTH)).withColumn("class", F.substring("drug", 1, 7))
+    rows = dma.disproportionality(mentions(spark, sf, fine=True)).withColumn("class", F.substring("drug", 1, 7))
     strong = rows.where("strength != 'WEAK'").groupBy("class", "event").agg(F.count("*").alias("n_analogs"))
     wanted = rows.select("class", "drug").distinct().join(strong, "class")
     return wanted.join(rows.select("drug", "event"), ["drug", "event"], "left_anti").select("drug", "event", "n_analogs")
@@ -223,7 +223,7 @@ def agg29_overdue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top05_facets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dma.disproportionality(mentions(spark, sf, MONTH))
+    rows = dma.disproportionality(mentions(spark, sf, fine=True))
     facets = {"strong": F.col("strength") == "STRONG", "moderate": F.col("strength") == "MODERATE", "single": F.col("a") == 1, "repeated": F.col("a") >= 3, "raised": F.col("ic025") > 0}
     return rows.agg(F.count("*").alias("total"), *(F.count_if(p).alias(n) for n, p in facets.items()))
 
@@ -265,25 +265,25 @@ p as (select round(s/sqrt(s*s+15),4) as score from t) select case when score<=-0
     "sca13_age": """with a as (select nullif(regexp_extract(text,'(?:^|[^0-9])([0-9]{1,3})(?:[^0-9]|$)',1),'')::int as age from documents where text is not null)
 select case when age is null then 'UNKNOWN' when age<18 then 'PEDIATRIC' when age>=65 then 'GERIATRIC' else 'ADULT' end as bracket, count(*) as n, sum(age)::bigint as total from a group by 1""",
     "len43_search": "with t as (select doc_id, list_filter(['for the','with the','on the','example.com'], lambda t: contains(lower(text), t)) as f from documents) select doc_id, len(f)::int as n_terms, array_to_string(f, ',') as terms from t where len(f)>0 order by n_terms desc, doc_id limit 50",
-    "etl01_flatten": f"with b as ({MONTH_BAG}), x as (select distinct post, 'exposure' as kind, lower(drug) as name from b union all select distinct post, 'condition', lower(event) from b) select kind, name, count(*) as n from x group by all",
-    "etl01_fhir": f"select post as bundle, min(drug) as drug, max(event) as event from ({MONTH_BAG}) group by 1",
+    "etl01_flatten": f"with b as ({FINE_BAG}), x as (select distinct post, 'exposure' as kind, lower(drug) as name from b union all select distinct post, 'condition', lower(event) from b) select kind, name, count(*) as n from x group by all",
+    "etl01_fhir": f"select post as bundle, min(drug) as drug, max(event) as event from ({FINE_BAG}) group by 1",
     "etl03_persons": f"select author, min(post) as first_post, first(severity order by post) as severity, count(*) as n from ({POSTS}) group by 1",
-    "etl08_baseline": f"with m as (select drug, event, count(*) as a from ({MONTH_BAG}) group by all), b as (select distinct drug, event from ({BAG}) where right(drug,1) in ('2','4')) select m.drug, m.event, a, b.drug is not null as listed from m left join b on m.drug=b.drug and m.event=b.event",
+    "etl08_baseline": f"with m as (select drug, event, count(*) as a from ({FINE_BAG}) group by all), b as (select distinct drug, event from ({FINE_BAG}) where right(drug,1) in ('2','4')) select m.drug, m.event, a, b.drug is not null as listed from m left join b on m.drug=b.drug and m.event=b.event",
     "snk01_insert": "with x as (select distinct l_orderkey, l_suppkey from lineitem where l_orderkey%2!=0) select l_suppkey, count(*) as n from x group by 1",
     "snk02_upsert_counts": """with x as (select c_custkey%3!=0 as o, c_custkey%2=0 as n, c_acctbal from customer where c_custkey%3!=0 or c_custkey%2=0)
 select case when o and n then 'updated' when n then 'inserted' else 'kept' end as change, count(*) as n, round(sum(case when n then -c_acctbal else c_acctbal end),2) as balance from x group by 1""",
     "snk05_surrogate": "select c_custkey, (('0x'||substring(sha256(c_name),1,16))::ubigint & 9223372036854775807::ubigint)::bigint as id from customer",
     "snk09_carry": f"with m as (select drug, event, count(*) as a from ({MONTH_BAG}) group by all), b as (select drug, event, count(*) as a from ({_BY_MONTH}) group by all) select m.drug, m.event, m.a, case when b.a is null then 'new' else 'reviewed' end as state, coalesce(b.a,0) as last_a from m left join b on m.drug=b.drug and m.event=b.event",
-    "snk11_alerts": f"""with bag as ({MONTH_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}, r as (select drug, event, strength, concat_ws(', ', case when a>=6 then 'severity Critical' when a>=5 then 'severity High' end, case when a>=4 then 'spike' end, case when ic025>0 then 'SDR' end) as f from m)
+    "snk11_alerts": f"""with bag as ({FINE_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}, r as (select drug, event, strength, concat_ws(', ', case when a>=6 then 'severity Critical' when a>=5 then 'severity High' end, case when a>=4 then 'spike' end, case when ic025>0 then 'SDR' end) as f from m)
 select drug, event, case when f!='' then f else 'strong' end as reasons from r where f!='' or strength='STRONG'""",
     "snk15_purge": "select min(doc_id) as doc_id, count(*)-1 as duplicate_count from documents group by md5(upper(regexp_replace(coalesce(text,''),'[^A-Za-z0-9]','','g')))",
     "snk16_merge": f"with bag as ({BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')} select substring(drug,1,7) as drug, event, first(a order by prr desc, m.drug desc) as a, max(prr) as prr, count(*) as n_merged from m group by substring(drug,1,7), event",
-    "set02_exclusion": f"with bag as (select * from ({MONTH_BAG}) where post not in (select post from ({MONTH_BAG}) where drug in ('Brand#11','Brand#23'))), {sql_cells('bag')}, {sql_measures('cells', 'm')} select drug, event, a, prr, chi_square from m",
+    "set02_exclusion": f"with bag as (select * from ({FINE_BAG}) where post not in (select post from ({FINE_BAG}) where regexp_matches(drug,'^Brand#(11|23)/'))), {sql_cells('bag')}, {sql_measures('cells', 'm')} select drug, event, a, prr, chi_square from m",
     "joi13_align": "with d as (select cast(ts as date) as day, event_type, count(*) as n from events group by all) select coalesce(x.day,y.day) as day, coalesce(x.n,0) as x, coalesce(y.n,0) as y from (select * from d where event_type='purchase') x full join (select * from d where event_type='error') y on x.day=y.day",
-    "len09_groups": f"""with bag as ({MONTH_BAG}), p as (select drug, event, count(*) as n from bag group by all), k as (select n_name as event, 'narrow-'||(n_nationkey%4) as grp from nation union all select n_name, 'broad-'||(n_nationkey%3) from nation),
+    "len09_groups": f"""with bag as ({FINE_BAG}), p as (select drug, event, count(*) as n from bag group by all), k as (select n_name as event, 'narrow-'||(n_nationkey%4) as grp from nation union all select n_name, 'broad-'||(n_nationkey%3) from nation),
 x as (select drug, grp, sum(n)::bigint as a from p join k using (event) group by all), bd as (select drug, sum(n)::bigint as bd from p group by 1), cells as (select x.drug, x.grp, a, bd-a as b, (sum(a) over (partition by x.grp))::bigint-a as c, (select sum(n)::bigint from p)-bd-(sum(a) over (partition by x.grp))::bigint+a as d from x join bd using (drug)),
 {sql_measures('cells', 'm', 'drug, grp')} select grp, drug, a, b, c, d, prr, chi_square, strength from m""",
-    "len12_read_across": f"""with bag as ({MONTH_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}, s as (select substring(drug,1,7) as class, event, count(*) as n_analogs from m where strength!='WEAK' group by all), d as (select distinct drug, substring(drug,1,7) as class from m)
+    "len12_read_across": f"""with bag as ({FINE_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')}, s as (select substring(drug,1,7) as class, event, count(*) as n_analogs from m where strength!='WEAK' group by all), d as (select distinct drug, substring(drug,1,7) as class from m)
 select d.drug, s.event, n_analogs from d join s using (class) where not exists (select 1 from m where m.drug=d.drug and m.event=s.event)""",
     "len31_strata": f"""with p as ({POSTS}), x as (select unnest(list_filter([case when severity='1-URGENT' then 'urgent' end, case when severity='5-LOW' then 'low' end, case when region='ASIA' then 'asia' end, case when region='ASIA' and severity='1-URGENT' then 'asia-urgent' end, case when year(posted_at)>=2000 then 'recent' end], lambda s: s is not null)) as stratum, ae_flag from p)
 select stratum, count(*) as n, count(*) filter (where ae_flag) as a from x group by 1""",
@@ -294,5 +294,5 @@ select event_type, week, n, round((sum(n) over (partition by event_type order by
 select *, case when ratio>=4 then 3 else 2 end as least_prr, case when ratio>=4 then 6 else 4 end as least_chi from r""",
     "agg20_mode": f"with p as (select drug, event, count(*) as a from ({BAG}) group by all), r as (select *, row_number() over (partition by event order by a desc, drug) as k from p) select event, string_agg(drug, ',' order by k) as top from r where k<=2 group by 1",
     "agg29_overdue": f"with p as (select severity in ('1-URGENT','2-HIGH') as urgent, (date '2001-08-01'-posted_at) > case when severity in ('1-URGENT','2-HIGH') then 14 else 30 end and not ae_flag as late from ({POSTS})) select urgent, count(*) as n, count(*) filter (where late) as n_late, round(count(*) filter (where late)::double/count(*),4) as rate from p group by 1",
-    "top05_facets": f"with bag as ({MONTH_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')} select count(*) as total, count(*) filter (where strength='STRONG') as strong, count(*) filter (where strength='MODERATE') as moderate, count(*) filter (where a=1) as single, count(*) filter (where a>=3) as repeated, count(*) filter (where ic025>0) as raised from m",
+    "top05_facets": f"with bag as ({FINE_BAG}), {sql_cells('bag')}, {sql_measures('cells', 'm')} select count(*) as total, count(*) filter (where strength='STRONG') as strong, count(*) filter (where strength='MODERATE') as moderate, count(*) filter (where a=1) as single, count(*) filter (where a>=3) as repeated, count(*) filter (where ic025>0) as raised from m",
 }

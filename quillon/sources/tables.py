@@ -25,10 +25,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(people, F.col("author") == F.col("c_custkey")).drop("c_custkey")
 
 
-def mentions(spark: SparkSession, sf_dir: str, month: str | None = None) -> DataFrame:
-    """Distinct (post, drug, event, soc), of all posts or of one month (yyyy-MM)."""
+def mentions(spark: SparkSession, sf_dir: str, month: str | None = None, fine: bool = False) -> DataFrame:
+    """Distinct (post, drug, event, soc), of all posts or of one month (yyyy-MM); `fine` products are a brand and size."""
     t = lambda n: table(spark, sf_dir, n)
-    parts = t("part").select("p_partkey", F.col("p_brand").alias("drug"))
+    drug = F.concat_ws("/", "p_brand", F.col("p_size").cast("string")) if fine else F.col("p_brand")
+    parts = t("part").select("p_partkey", drug.alias("drug"))
     events = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     events = events.select("s_suppkey", F.col("n_name").alias("event"), F.col("r_name").alias("soc"))
     lines = t("lineitem").select(F.col("l_orderkey").alias("post"), "l_partkey", "l_suppkey")
