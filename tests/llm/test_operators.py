@@ -136,13 +136,50 @@ def test_embeddings(spark, sf):
     assert embedding_forest.embedding_dedup(df.limit(0)).count() == 0
 
 
+def linked_by_forest(spark, x, **kw):
+    """The linked counts and components of forest_links() over vectors."""
+    table = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(x)], "cid long, n long, x binary").repartition(5)
+    rows = embedding_forest.forest_links(table, **kw).collect()
+    n = collections.Counter()
+    for r in rows:
+        n[r.a] += r.linked
+    return n, components(range(len(x)), [(r.a, r.b) for r in rows]), len(rows)
+
+
+def linked_by_brute_force(x):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = np.argwhere(np.triu(u @ u.T >= 0.95, 1))
+    return collections.Counter(pairs.ravel().tolist()), components(range(len(x)), pairs.tolist())
+
+
 def test_large_leaves_are_compared_in_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, 16) + rng.normal(0, 0.05, (90, 16))
-    table = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "cid long, x binary")
-    found = embedding_forest.forest_links(table, leaf=1000, leaf_rows=20)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert {(r.a, r.b) for r in found.collect()} == {(i, j) for i, j in np.argwhere(np.triu(u @ u.T >= 0.95, 1)).tolist()}
+    n, component, rows = linked_by_forest(spark, x, leaf=1000, leaf_rows=20)
+    assert (n, component) == linked_by_brute_force(x) and rows < 90 * 5 * 9
+
+
+def test_pairs_that_share_leaves_count_once_and_recall_holds_in_deep_trees(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(0, 1, (1500, 32))
+    close = np.concatenate([base[:500] + rng.normal(0, 0.22, (500, 32)) for _ in range(3)])  # cosines around 0.976
+    x = np.concatenate([base, close])
+    want, component = linked_by_brute_force(x)
+    assert sum(want.values()) > 2000
+    n, got, rows = linked_by_forest(spark, x, depth=8)
+    assert all(n[i] <= want[i] for i in range(len(x)))  # nothing twice
+    assert sum(n.values()) >= 0.97 * sum(want.values())
+    assert sum(got[i] == component[i] for i in range(len(x))) >= 0.97 * len(x)
+    n, got, _ = linked_by_forest(spark, x, depth=3)
+    assert sum(n.values()) >= 0.999 * sum(want.values())
+
+
+def test_embeddings_with_clashing_columns(spark):
+    rows = [(i, [1.0 + (i % 3) * 1e-3, 0.0, float(i // 6)], 1, 2, 3, 4.0) for i in range(24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cid int, n int, leaf int, x double")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_forest.embedding_dedup(df).collect()}
+    n, component = linked_by_brute_force(np.array([r[1] for r in rows], np.float32).astype(float))
+    assert got == {i: (n[i], component[i]) for i in range(24)}
 
 
 def test_quality_rules(docs, rows, empty):
@@ -160,11 +197,114 @@ def test_quality_rules(docs, rows, empty):
     assert perplexity.quality_rules(empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(4)
-    code, n = np.unique(rng.integers(0, 5, 4000) + 64 * rng.integers(0, 5, 4000) + 4096 * rng.integers(0, 3, 4000) + 64**3 * rng.integers(0, 3, 4000), return_counts=True)
-    p = np.exp(perplexity.fit(code, n).table().astype(float)).reshape(-1, 64).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
+def kneser_ney_by_brute_force(texts, order=5):
+    """p(byte | bytes before) by interpolated modified Kneser-Ney over dictionaries."""
+    top = collections.Counter()
+    for t in texts:
+        b = b"\0" * (order - 1) + (t or "").encode()
+        top.update(b[i : i + order] for i in range(len(b) - order + 1))
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    steps = {}
+    for k, level in levels.items():
+        c = [1, *(max(1, sum(n == i for n in level.values())) for i in (1, 2, 3, 4))]
+        y = c[1] / (c[1] + 2 * c[2])
+        steps[k] = [min(max(i - (i + 1) * y * c[i + 1] / c[i], 0.05), i - 0.05) for i in (1, 2, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k = len(g)
+        found = {h: n for h, n in levels[k].items() if h[:-1] == g[:-1]}
+        total = sum(found.values())
+        if not total:
+            return p(g[1:])
+        taken = sum(steps[k][min(n, 3) - 1] for n in found.values())
+        own = found.get(g, 0)
+        return (own - steps[k][min(own, 3) - 1] if own else 0) / total + taken / total * p(g[1:])
+
+    return p
+
+
+def test_log_perplexity_equals_brute_force(spark):
+    texts = ["the cat sat on the mat", "the cat ran", "a cat sat é on", "the dog sat on the cat", "", None, "zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p = kneser_ney_by_brute_force(texts)
+    got = {r.doc_id: r.log_ppl for r in perplexity.quality_rules(docs).collect()}
+    for i, t in enumerate(texts):
+        b = b"\0" * 4 + (t or "").encode()
+        want = -sum(np.log(p(b[k : k + 5])) for k in range(len(b) - 4)) / max(len(b) - 4, 1)
+        assert got[i] == pytest.approx(want, abs=1e-4)
+    model = perplexity.train(docs)
+    for context in (b"the ", b"cat ", b"qqqq", b"\0\0\0t"):
+        codes = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)])
+        assert np.exp(model.log_p(codes).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    pruned = perplexity.train(docs, entries=80)
+    assert sum(len(k.keys) for k in pruned.runs) <= 80
+    assert np.exp(pruned.log_p(np.array([int.from_bytes(b"the " + bytes([x]), "big") for x in range(256)])).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_perplexity_bands_reject_in_every_language(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for lang, letters in (("en", "etaoinshrdlu"), ("ru", "оеаинтсрвлкм"), (None, "日月火水木金土山川田")):
+        stock = ["".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(150)]
+        for i in range(120):
+            rows.append((len(rows), " ".join(rng.choice(stock, 80)), lang, "plain"))
+        for i in range(4):
+            noise = "".join(chr(c) for c in rng.integers(0x21, 0x17F, 500))
+            rows.append((len(rows), " ".join(noise[k : k + 6] for k in range(0, 480, 6)), lang, "noise"))
+        rows.append((len(rows), " ".join(stock[k % 7] + stock[k % 11] for k in range(100)), lang, "other"))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in perplexity.quality_rules(docs).collect()}
+    of = lambda kind, lang: [kept[r[0]] for r in rows if r[3] == kind and r[2] == lang]
+    for lang in ("en", "ru", None):
+        assert not any(of("noise", lang)) and sum(of("plain", lang)) >= 0.97 * 120
+
+
+def test_toxicity_ratio_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    stock = [f"w{i}" for i in range(40)]
+    made = [" ".join(rng.choice(stock, 12)) + (" foul word" if i % 3 == 0 else " fine word") for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, "toxic", 1000)
+    first = toxicity._order(rows, 1, 3, 1 << 20, None)
+    sets = [set(t.split()) for t in made]
+    seen = collections.Counter(w for s in sets for w in s)
+    n = [collections.Counter(w for i, s in enumerate(sets[:60]) if (i % 3 == 0) == toxic for w in s) for toxic in (True, False)]
+    total = [sum(c.values()) for c in n]
+    step = [perplexity.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)])[3] for c in n]
+    gamma = [1 - sum(v - d for v in c.values() if v > 3) / t for c, d, t in zip(n, step, total)]
+
+    def log_p(k, w, out=0):
+        c = n[k][w] - out
+        return np.log((c - step[k] if c > 3 else 0) / total[k] + gamma[k] * seen[w] / sum(seen.values()))
+
+    for w in ("foul", "fine", "word", "w3"):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        for label, out in ((2, (0, 0)), (1, (1, 0)), (0, (0, 1))):
+            got = toxicity._ratios([first], raw, np.array([0, len(raw)]), np.array([label]))[0][0]
+            known = n[0][w] - out[0] > 3 or n[1][w] - out[1] > 3
+            want = log_p(0, w, out[0]) - log_p(1, w, out[1]) if known else np.log(gamma[0]) - np.log(gamma[1])
+            assert got == pytest.approx(want, abs=1e-4)
+    few = toxicity._order(rows, 1, 3, 20, None)
+    assert len(few.keys.keys) <= 20
+
+
+def test_keys_find_what_they_hold():
+    from quillon.llm.common import Keys, distinct, word_hashes
+
+    rng = np.random.default_rng(1)
+    some = distinct(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    asked = np.concatenate([some[::3], rng.integers(0, 2**64, 3000, dtype=np.uint64)])
+    at, where = Keys(some).find(asked)
+    assert set(at.tolist()) == set(np.flatnonzero(np.isin(asked, some)).tolist()) and (some[where] == asked[at]).all()
+    assert not len(Keys(np.empty(0, np.uint64)).find(asked)[0])
+    raw = np.frombuffer(b"ab" * 3000 + b" x ab", np.uint8)
+    h = word_hashes(raw, np.array([0, 6001, 6003]), np.array([6000, 6002, 6005]), block=64)
+    assert h[2] == word_hashes(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2]))[0] and len(set(h.tolist())) == 3
 
 
 def test_toxicity_and_quality(spark, docs, rows, empty):
@@ -203,7 +343,7 @@ def test_warc_keeps_rows_that_share_a_page_id(spark, tmp_path):
     long, other = "long page " * 4000, "other " * 9000
     rows = [(1, "u", long), (1, "u", long), (1, "v", long), (2, "u", long), (2, "u", other), (2, "u", "z" * 300), (3, "u", other), (None, "u", long), (None, "u", long), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = collections.Counter((r.page_id if r.page_id > 0 else None, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived_pages(pages).collect())
+    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived_pages(pages).collect())
     first = {long: 1, other: 2}
     want = collections.Counter()
     for page, _, html in rows:
@@ -225,6 +365,41 @@ def test_warc_returns_incomplete_records(spark, tmp_path):
     assert sorted((r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in got) == [(1, "incomplete", None, None, None), (2, "revisit", None, None, 1), (3, "response", len(html), digest, None)]
 
 
+def test_warc_reads_segments_in_any_order_and_pages_without_an_id(spark, tmp_path):
+    html, other = "long page " * 4000, "é" * 12_000
+    records = warc.page_records(None, "u", html.encode(), None, copy=7) + warc.page_records(4, "u", other.encode(), None)
+    records = records[::-1]
+    for k, part in enumerate((records[::2], records[1::2])):  # segments lie in two archives, last ones first
+        (tmp_path / f"{k}.warc").write_bytes(b"".join(r + b"\r\n" for r in part))
+    got = warc.indexed(warc.read_archives(spark, str(tmp_path / "*.warc"))).collect()
+    want = [(None, "response", len(html), hashlib.sha256(html.encode()).hexdigest(), None), (4, "response", 24_000, hashlib.sha256(other.encode()).hexdigest(), None)]
+    assert {tuple(r[c] for c in ("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to")) for r in got} == set(want) and len(got) == 2
+
+
+def test_warc_ignores_clashing_columns(spark):
+    rows = [(1, "u", "x" * 200, 5, "a", 1, "d"), (2, "u", "x" * 200, 6, "b", 2, "e")]
+    got = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string, copy int, record string, refers_to int, digest string")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {(1, "response", None), (2, "revisit", 1)}
+
+
+def test_quality_features_of_many_empty_texts_stay_small(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    space = quality_knn.latent_space(np.eye(8, quality_knn.FEATURES, dtype=np.float32), np.array([0, 1] * 4, float))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([""] * 10_000)], ["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(len(b) for b in quality_knn._scores(type("B", (), {"value": space}))(iter([batch])))
+    assert rows == 10_000 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_neighbours_that_tie_all_vote():
+    space = quality_knn.latent_space(np.repeat(np.eye(2, quality_knn.FEATURES, dtype=np.float32), 60, 0), np.array([1.0] * 30 + [0.0] * 30 + [1.0] * 60))
+    assert space.score(np.eye(1, quality_knn.FEATURES, dtype=np.float32))[0] == pytest.approx(0.5, abs=1e-6)
+
+
 def test_token_rollup(spark, tmp_path):
     schema = "kind string, source string, lang string, tokenizer_version string, n_tokens long, old_n_tokens long"
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "rollup"))
@@ -267,6 +442,29 @@ def test_local_search_empties_bins():
     assert sorted(i for b in end for i in b) == list(range(6)) and all(sum(sizes[i] for i in b) <= 10 for b in end) and len(end) < len(start)
 
 
+def test_local_search_does_the_packing():
+    """From next fit, squared fill rises with every step and the bins fall to within 1 % of the bound."""
+    rng = np.random.default_rng(9)
+    sizes = np.minimum(rng.lognormal(5.5, 1, 4000).astype(int) + 1, 2048).tolist()
+    start, trace = packing.next_fit(sizes, 2048), []
+    squares = sum(sum(sizes[i] for i in b) ** 2 for b in start)
+    bound, before = -(-sum(sizes) // 2048), len(start)
+    end = packing.local_search(start, sizes, 2048, trace)
+    assert all(a < b for a, b in zip([squares, *trace], trace))
+    assert trace[-1] == sum(sum(sizes[i] for i in b) ** 2 for b in end)
+    assert before > 1.2 * bound and len(end) <= 1.01 * bound
+    assert sorted(i for b in end for i in b) == list(range(4000)) and all(sum(sizes[i] for i in b) <= 2048 for b in end)
+
+
+def test_exchanges_where_no_item_can_move():
+    """One for one: 6 takes the place of 5; two for one: 3 and 2 take the place of 4; then the bin is empty."""
+    for sizes, start in (([6, 5, 4, 1], [[0, 3], [1, 2]]), ([3, 2, 4, 5, 9], [[0, 1], [2, 3], [4]])):
+        trace = []
+        end = packing.local_search([list(b) for b in start], sizes, 10, trace)
+        assert sorted(i for b in end for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 10 for b in end)
+        assert trace == sorted(set(trace))
+
+
 def test_byte_bpe(docs, rows, empty):
     path = public_tokenizers.path(byte_bpe.RANKS)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
