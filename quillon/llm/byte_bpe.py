@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import column, read_table, texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces whose ids a worker keeps at most; the store is emptied when full.
-STORE = 1_000_000
+#: Bytes of pieces and ids, and pairs of tokens, that a worker keeps at most; a store is emptied when full.
+STORE_BYTES = 64 << 20
+PAIRS = 1_000_000
+#: Longer pieces are not kept.
+KEPT_PIECE = 256
 
 
 class Bpe:
@@ -50,6 +53,7 @@ class Bpe:
         self.shorter: dict[int, int | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.stored: dict[str, bytes] = {}
+        self.stored_bytes = 0
 
     def _merge(self, token: bytes, below: int) -> tuple[int, int] | None:
         """The two tokens that merge last into this one, by plain merges of lower rank."""
@@ -92,6 +96,8 @@ class Bpe:
                 limit, x = x, nx[1]
             else:
                 limit, y = y + 1, ny[0]
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
         self.fits[a, b] = ok
         return ok
 
@@ -127,6 +133,19 @@ class Bpe:
                 less = self._prefix(token)
             token, size = less, len(size_of[less])
 
+    def _ids(self, piece: str) -> bytes:
+        found = self.stored.get(piece)
+        if found is None:
+            found = np.array(self.piece(piece.encode()), "<u4").tobytes()
+            if len(piece) <= KEPT_PIECE:
+                size = 150 + 4 * len(piece) + len(found)  # with what the objects themselves take
+                if self.stored_bytes + size > STORE_BYTES:
+                    self.stored.clear()
+                    self.stored_bytes = 0
+                self.stored[piece] = found
+                self.stored_bytes += size
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, piece by piece, as unsigned 32-bit integers."""
         stored = self.stored
@@ -134,12 +153,7 @@ class Bpe:
         try:
             packed = b"".join(map(stored.__getitem__, pieces))
         except KeyError:
-            if len(stored) > STORE:
-                stored.clear()
-            for p in pieces:
-                if p not in stored:
-                    stored[p] = np.array(self.piece(p.encode()), "<u4").tobytes()
-            packed = b"".join(map(stored.__getitem__, pieces))
+            packed = b"".join(map(self._ids, pieces))
         return np.frombuffer(packed, "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -190,6 +204,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 over all documents; nulls, ties and empty tables as in encode_documents()."""
     return encode_documents(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 

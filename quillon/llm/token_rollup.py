@@ -1,20 +1,28 @@
 """Token counts kept as delta-maintained rollups.
 
 Totals are additive by source, language and tokenizer version. Inserts, deletes and revised counts come as signed
-deltas in batches; a commit adds a batch's sums to the totals and writes totals and the ledger of batches as one new
-version, complete only with Spark's success marker. A batch that the ledger holds is not added again, and a commit that
-broke off leaves the version before it in force, so batches may be replayed at will.
+deltas in batches; a commit adds a batch's sums to the totals and writes them as a new version that names its batch,
+complete only with Spark's success marker. Then the batch gets a marker file of its own, in a folder by its hash, so to
+know a batch takes one look-up however many there are. A batch that is known is not added again; a commit that broke
+off before its version was complete leaves the version before in force, one that broke off after it is found by the
+batch that the last version names. So batches may be replayed at will.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
+import public_tokenizers
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir, stored
+from .common import column, read_table, shared_dir, stored
 
 KEYS = ["source", "lang", "tokenizer_version"]
 _STATE = "batch_id string, source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -25,7 +33,7 @@ SIGNS = {"insert": 1, "delete": -1, "revise": 0}
 def signed(changes: DataFrame) -> DataFrame:
     """Signed sums of changes (kind, source, lang, tokenizer_version, n_tokens and, for revisions, old_n_tokens).
 
-    Null counts are 0; null keys are a group of their own; unknown kinds raise an error.
+    Null counts are 0; null keys are a group of their own; unknown kinds raise an error; no changes give no rows.
     """
     kind = F.col("kind")
     n, old = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_tokens", "old_n_tokens"))
@@ -37,67 +45,116 @@ def signed(changes: DataFrame) -> DataFrame:
 class TokenRollup:
     """Versions of a rollup in a folder on any file system that Spark reads."""
 
+    #: Complete versions that are kept; older totals are removed.
+    KEPT = 3
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._at("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _versions(self) -> list[int]:
+        """The complete versions, in order."""
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and self._fs.exists(self._at(f"{n}/_SUCCESS")))
 
-    def _version(self) -> int:
-        """The last complete version, 0 without one."""
-        jvm = self.spark._jvm
-        top = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = top.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(top):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(top)]
-        done = [int(n[1:]) for n in names if n[:1] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=0)
-
-    def _state(self, version: int) -> DataFrame:
-        if not version:
+    def _state(self, versions: list[int]) -> DataFrame:
+        if not versions:
             return self.spark.createDataFrame([], _STATE)
-        return self.spark.read.schema(_STATE).parquet(f"{self.path}/v{version}")
+        return self.spark.read.schema(_STATE).parquet(f"{self.path}/v{versions[-1]}")
+
+    @staticmethod
+    def _marker(batch_id: str) -> str:
+        name = hashlib.sha256(batch_id.encode()).hexdigest()
+        return f"batches/{name[:3]}/{name}"
+
+    def _mark(self, batch_id: str) -> None:
+        self._fs.create(self._at(self._marker(batch_id)), True).close()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Add a batch; False, without effect, where it has been committed before."""
-        version = self._version()
-        state = self._state(version)
-        if not state.where(F.col("batch_id") == batch_id).isEmpty():
+        """Add a batch; False, without effect, where it has been committed before. An empty batch counts as committed."""
+        versions = self._versions()
+        state = self._state(versions)
+        last = state.where("batch_id is not null").first()
+        if last is not None:
+            self._mark(last["batch_id"])  # its commit may have broken off before it could
+        if self._fs.exists(self._at(self._marker(batch_id))):
             return False
         totals = state.where("batch_id is null").drop("batch_id").unionByName(signed(changes))
         totals = totals.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
-        ledger = state.where("batch_id is not null").select("batch_id").union(self.spark.createDataFrame([(batch_id,)], "batch_id string"))
-        rows = totals.unionByName(ledger, allowMissingColumns=True).select("batch_id", *KEYS, "n_docs", "n_tokens")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v{version + 1}")
+        named = self.spark.createDataFrame([(batch_id,)], "batch_id string")
+        rows = totals.unionByName(named, allowMissingColumns=True).select("batch_id", *KEYS, "n_docs", "n_tokens")
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{(versions or [0])[-1] + 1}")
+        self._mark(batch_id)
+        for old in versions[: -self.KEPT + 1]:
+            self._fs.delete(self._at(f"v{old}"), True)
         return True
 
     def totals(self) -> DataFrame:
-        return self._state(self._version()).where("batch_id is null").drop("batch_id")
+        return self._state(self._versions()).where("batch_id is null").drop("batch_id")
 
 
-#: Tokenizers of the query, as patterns: words, words with a letter (a revision of the first), and runs of letters.
-WORDS = r"[^\x20\x09-\x0D]+"
-WORDS_REVISED = r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*"
-LETTERS = r"[A-Za-z]+"
-MIN_WORDS = 50
+@cache
+def _encoder(path: str) -> tiktoken.Encoding:
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents, the first of them replayed: inserts under one tokenizer, inserts under
-    another, revised counts of the first, deletes of short documents from both."""
+def _counted(paths: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                part = b.slice(lo, 500)
+                text = [t or "" for t in column(part, "text").to_pylist()]
+                counts = [pa.array([len(_encoder(p).encode_ordinary(t)) for t in text], pa.int64()) for p in paths]
+                yield pa.RecordBatch.from_arrays([column(part, "source"), column(part, "lang"), column(part, "bytes"), *counts], ["source", "lang", "bytes", *(f"n{i}" for i in range(len(paths)))])
+
+    return run
+
+
+#: Rank files of the query's two tokenizers; the file's name is the tokenizer version.
+TOKENIZERS = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
+#: Bytes of a token in a provisional count.
+BYTES_A_TOKEN = 4
+#: Documents of fewer tokens of the first tokenizer are deleted again.
+LEAST_TOKENS = 64
+
+
+def token_counts(docs: DataFrame, names: tuple[str, ...] = TOKENIZERS) -> DataFrame:
+    """source, lang, bytes and n0, n1, ... (tokens of each tokenizer) of each row of documents; null texts are empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    docs = read_table(spark, sf_dir, "documents").select("source", "lang", found(WORDS).alias("words"), found(WORDS_REVISED).alias("revised"), found(LETTERS).alias("letters"))
-    docs = stored(docs, "counts")
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"), F.octet_length(text).cast("long").alias("bytes"))
+    schema = "source string, lang string, bytes long, " + ", ".join(f"n{i} long" for i in range(len(names)))
+    return rows.mapInArrow(_counted([public_tokenizers.path(n) for n in names]), schema)
+
+
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after four batches over all documents, the first of them
+    replayed: provisional counts (from the bytes) of the first tokenizer, counts of the second, revised counts of the
+    first, now that the texts are encoded, and deletes of short documents from both.
+
+    Null texts are empty, with no tokens; null sources and languages are groups of their own; repeated rows count as
+    often as they are there; an empty table gives no rows.
+    """
+    docs = stored(token_counts(read_table(spark, sf_dir, "documents")).withColumn("guess", F.ceil(F.col("bytes") / BYTES_A_TOKEN).cast("long")), "counts")
 
-    def changes(kind: str, version: str, n: str, old: str | None = None) -> DataFrame:
-        return docs.select(F.lit(kind).alias("kind"), "source", "lang", F.lit(version).alias("tokenizer_version"), F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_n_tokens"), "words")
+    def changes(kind: str, version: int, n: str, old: str | None = None) -> DataFrame:
+        name = F.lit(TOKENIZERS[version].removesuffix(".tiktoken")).alias("tokenizer_version")
+        return docs.select(F.lit(kind).alias("kind"), "source", "lang", name, F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_n_tokens"), F.col("n0").alias("size"))
 
-    inserts = changes("insert", "words-1", "words")
-    short = [changes("delete", v, n).where(F.col("words") < MIN_WORDS) for v, n in (("words-1", "revised"), ("letters-1", "letters"))]
+    inserts = changes("insert", 0, "guess")
+    short = [changes("delete", k, f"n{k}").where(F.col("size") < LEAST_TOKENS) for k in (0, 1)]
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     for batch, rows in (
         ("1-insert", inserts),
-        ("2-insert", changes("insert", "letters-1", "letters")),
-        ("3-revise", changes("revise", "words-1", "revised", "words")),
+        ("2-insert", changes("insert", 1, "n1")),
+        ("3-revise", changes("revise", 0, "n0", "guess")),
         ("1-insert", inserts),
         ("4-delete", reduce(DataFrame.unionByName, short)),
     ):
@@ -106,19 +163,3 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_token_rollup": op6_token_rollup}
-ORACLES = {
-    "op6_token_rollup": rf"""
-with c as (
-  select source, lang,
-    len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as words,
-    len(regexp_extract_all(coalesce(text, ''), '{WORDS_REVISED}')) as revised,
-    len(regexp_extract_all(coalesce(text, ''), '{LETTERS}')) as letters
-  from documents
-), d as (
-  select source, lang, 'words-1' as tokenizer_version, revised as n from c where words >= {MIN_WORDS}
-  union all
-  select source, lang, 'letters-1', letters from c where words >= {MIN_WORDS}
-)
-select source, lang, tokenizer_version, count(*)::bigint as n_docs, sum(n)::bigint as n_tokens from d group by all
-"""
-}

@@ -14,6 +14,7 @@ pytest.importorskip("quillon.llm")
 
 import public_tokenizers  # noqa: E402
 import tiktoken  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from quillon.llm import byte_bpe, embedding_forest, packing, perplexity, quality_knn, simhash_anchor, suffix_dedup, token_rollup, toxicity, warc  # noqa: E402
@@ -543,7 +544,38 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert got == want and len(kept) > 220 and shorter > 20
 
 
-def test_rollup_query_equals_sql(spark, sf):
-    from compare import difference
-
-    assert not difference(spark, sf, token_rollup.op6_token_rollup, token_rollup.ORACLES["op6_token_rollup"])
+def test_rollup_query_equals_brute_force(spark, tmp_path):
+    texts = [None, "", "a b c " * 60, "é" * 300, "short", "the same text again " * 30, "the same text again " * 30]
+    rows = [(i, t, None if i == 2 else "en", f"s{i % 2}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = collections.Counter(), collections.Counter()
+    encoders = []
+    for name in token_rollup.TOKENIZERS:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(name), "rb"))}
+        encoders.append(tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    for _, t, lang, source in rows:
+        n = [len(e.encode_ordinary(t or "")) for e in encoders]
+        if n[0] >= token_rollup.LEAST_TOKENS:
+            for name, k in zip(token_rollup.TOKENIZERS, n):
+                key = (source, lang, name.removesuffix(".tiktoken"))
+                want[0][key] += 1
+                want[1][key] += k
+    got = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in token_rollup.op6_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {k: (want[0][k], want[1][k]) for k in want[0]} and len(got) >= 4
+
+
+def test_rollup_survives_broken_commits_and_removes_old_versions(spark, tmp_path):
+    schema = "kind string, source string, lang string, tokenizer_version string, n_tokens long, old_n_tokens long"
+    one = spark.createDataFrame([("insert", "a", "en", "1", 10, None)], schema).withColumn("batch_id", F.lit("clash"))
+    path = tmp_path / "rollup"
+    rollup = token_rollup.TokenRollup(spark, str(path))
+    assert rollup.totals().count() == 0
+    for k in range(6):
+        assert rollup.commit(str(k), one)
+    assert len(list(path.glob("v*"))) == 3 and len(list(path.glob("batches/*/*"))) >= 6
+    for marker in path.glob(f"{token_rollup.TokenRollup._marker('5')}"):
+        marker.unlink()  # as if the last commit had broken off after its version was complete
+    assert not rollup.commit("5", one) and not rollup.commit("0", one)
+    (path / "v7").mkdir()  # and one that broke off before
+    assert rollup.commit("6", one.limit(0)) and not rollup.commit("6", one)
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(6, 60)]
