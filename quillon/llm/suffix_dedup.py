@@ -10,8 +10,8 @@ o bytes to the left and 100 - o to the right, and nothing else has to be compare
    settled at once, so thousands of copies of a passage leave one row a batch.
 2. By bucket: hashes found once are dropped, repeated whole contexts settled; what is left needs its bytes.
 3. Join with the texts: the contexts of those anchors, packed by bucket. Anchor strings with very many different
-   contexts (a frequent line between ever new neighbours) are cut at all depths instead, one row for each 100-byte
-   string, so that no group grows with the corpus unsplit.
+   contexts (a frequent line between ever new neighbours) are cut at all depths instead, a narrow row for each 100-byte
+   string; of equal strings of a batch only the first goes on.
 4. By bucket, deep-shallow sorting of the contexts in both directions: multikey quicksort on 8-byte symbols to a
    shallow depth, blind tries for the groups that agree beyond it; the common-prefix lengths of neighbours give the
    classes of equal strings for each o, of which all but the first occurrence are removed.
@@ -47,7 +47,8 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 _KEY = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("pos", "<i4")])
 _ASK = np.dtype([("pos", "<i4"), ("kind", "<i4")])
 _RUN = np.dtype([("lo", "<i4"), ("hi", "<i4")])
-_CTX = np.dtype([("h", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("pos", "<i4"), ("o", "<i2"), ("left", "u1"), ("right", "u1"), ("bytes", f"S{LEFT + LENGTH}")])
+_CTX = np.dtype([("h", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", f"S{LEFT + LENGTH}")])
+_CUT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("lo", "<i4")])
 #: What an anchor is asked for: its bytes, a row for each string through it, or nothing as its whole context repeats.
 NEED, CUT, SETTLED = 0, 1, 2
 
@@ -119,10 +120,18 @@ def _packed(bucket: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]
         yield int(bucket[lo]), rows[lo:hi].tobytes()
 
 
-def _emit(pairs: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
-    pairs = list(pairs)
-    cols = [pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, ["bucket", "rows"])
+def _emit(known: list[tuple[int, int, bytes]], buckets: int, **pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Packed rows by bucket, a column for each kind of them, and what is known already, by document."""
+    n = sum(map(len, pairs.values()))
+    cols = {
+        "bucket": pa.array([p[0] for kind in pairs.values() for p in kind] + [k[0] % buckets for k in known], pa.int32()),
+        "doc_id": pa.array([None] * n + [k[0] for k in known], pa.int64()),
+        "copy": pa.array([None] * n + [k[1] for k in known], pa.int32()),
+        "known": pa.array([None] * n + [k[2] for k in known], pa.binary()),
+    }
+    for name in pairs:
+        cols[name] = pa.array([p[1] if kind == name else None for kind, part in pairs.items() for p in part] + [None] * len(known), pa.binary())
+    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
 def _first_of(rows: np.ndarray, keys: list[str]) -> np.ndarray:
@@ -167,41 +176,38 @@ def _scan(buckets: int) -> Callable:
             settled = first != np.arange(len(rows))
             known = [(d, c, a) for d, c, a in _asks(rows[settled], SETTLED)] if settled.any() else []
             rows = rows[~settled]
-            pairs = list(_packed((rows["h"] >> np.uint64(20)) % np.uint64(buckets), rows))
-            n, m = len(pairs), len(known)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[0] for p in pairs] + [k[0] % buckets for k in known], pa.int32()),
-                    pa.array([None] * n + [k[0] for k in known], pa.int64()),
-                    pa.array([None] * n + [k[1] for k in known], pa.int32()),
-                    pa.array([p[1] for p in pairs] + [k[2] for k in known], pa.binary()),
-                ],
-                ["bucket", "doc_id", "copy", "rows"],
-            )
+            yield _emit(known, buckets, rows=list(_packed((rows["h"] >> np.uint64(20)) % np.uint64(buckets), rows)))
 
     return run
 
 
-def _by_bucket(f: Callable[[np.ndarray], Iterator[pa.RecordBatch]], dtype: np.dtype) -> Callable:
-    """Rows come sorted by bucket: f gets the unpacked rows of one bucket at a time. Rows that are asks already (with
-    a document) pass."""
+def _by_bucket(f: Callable[..., Iterator[pa.RecordBatch]], name: str, **kinds: np.dtype) -> Callable:
+    """Rows come sorted by bucket: f gets the unpacked rows of one bucket at a time, by kind. What is known already
+    (with a document) passes as `name`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, {k: [] for k in kinds}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if any(held.values()):
+                yield from f(**{k: np.concatenate([np.empty(0, t), *held[k]]) for k, t in kinds.items()})
+            for part in held.values():
+                part.clear()
+
         for b in batches:
-            if "doc_id" in b.schema.names:
-                known = b.filter(column(b, "doc_id").is_valid())
-                if len(known):
-                    yield pa.RecordBatch.from_arrays([column(known, n) for n in ("doc_id", "copy", "rows")], ["doc_id", "copy", "asks"])
-                b = b.filter(column(b, "doc_id").is_null())
-            for k, blob in zip(column(b, "bucket").to_pylist(), column(b, "rows")):
-                if k != now and held:
-                    yield from f(np.concatenate(held))
-                    held = []
-                now = k
-                held.append(np.frombuffer(blob.as_buffer(), dtype).copy())
-        if held:
-            yield from f(np.concatenate(held))
+            known = b.filter(column(b, "doc_id").is_valid())
+            if len(known):
+                yield pa.RecordBatch.from_arrays([column(known, n) for n in ("doc_id", "copy", "known")], ["doc_id", "copy", name])
+            b = b.filter(column(b, "doc_id").is_null())
+            cols = [column(b, k) for k in kinds]
+            for i, bucket in enumerate(column(b, "bucket").to_pylist()):
+                if bucket != now:
+                    yield from out()
+                now = bucket
+                for (k, t), col in zip(kinds.items(), cols):
+                    if col[i].is_valid:
+                        held[k].append(np.frombuffer(col[i].as_buffer(), t).copy())
+        yield from out()
 
     return run
 
@@ -226,7 +232,7 @@ def _decide(many: int) -> Callable:
             out = list(_asks(rows, kind))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "copy", "asks"])
 
-    return _by_bucket(f, _KEY)
+    return _by_bucket(f, "asks", rows=_KEY)
 
 
 def _own(parts: list[dict] | None, copy: int, name: str, dtype: np.dtype) -> np.ndarray:
@@ -235,11 +241,13 @@ def _own(parts: list[dict] | None, copy: int, name: str, dtype: np.dtype) -> np.
 
 
 def _contexts(buckets: int) -> Callable:
-    """Of texts with their asks: the contexts of the anchors that need comparing, packed by bucket."""
+    """Of texts with their asks: the contexts of the anchors that need comparing, and the strings of those that are
+    cut, packed by bucket. Of equal strings of a batch only the first goes on; the others are repeats already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, copy, asked = column(b, "doc_id").to_numpy(), column(b, "copy").to_numpy(), column(b, "asks").to_pylist()
+            near, far = [np.empty(0, _CTX)], [np.empty(0, _CUT)]
             for lo, hi, raw, at in chunks(column(b, "text")):
                 if len(raw) < LENGTH:
                     continue
@@ -252,30 +260,37 @@ def _contexts(buckets: int) -> Callable:
                     continue
                 h = _gram_hashes(raw)
                 pos = at[text] + asks["pos"]
-                key = h[pos] | np.uint64(1)
                 left = np.minimum(asks["pos"], LEFT)
                 right = np.minimum(at[text + 1] - pos, LENGTH)
-                near = np.flatnonzero(asks["kind"] == NEED)
-                out = np.zeros(len(near), _CTX)
+                i = np.flatnonzero(asks["kind"] == NEED)
+                out = np.zeros(len(i), _CTX)
                 padded = np.zeros(len(raw) + LEFT + LENGTH, np.uint8)
                 padded[LEFT : LEFT + len(raw)] = raw
-                view = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)
-                whole = view[pos[near]].copy()
+                whole = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)[pos[i]].copy()
                 slot = np.arange(LEFT + LENGTH)
-                whole[(slot < LEFT - left[near, None]) | (slot >= LEFT + right[near, None])] = 0
-                out["h"], out["doc"], out["copy"], out["pos"] = key[near], doc[lo + text[near]], copy[lo + text[near]], asks["pos"][near]
-                out["o"], out["left"], out["right"] = -1, left[near], right[near]
-                out["bytes"] = whole.view(f"S{LEFT + LENGTH}").ravel()
-                far = np.flatnonzero(asks["kind"] == CUT)
-                if len(far):
-                    i, o = (x.ravel() for x in np.meshgrid(far, np.arange(LEFT + 1), indexing="ij"))
-                    fits = (o <= left[i]) & (LENGTH - o <= right[i])
-                    i, o = i[fits], o[fits]
-                    cut_rows = np.zeros(len(i), _CTX)
-                    cut_rows["h"] = mixed(_string_hashes(h, pos[i] - o) + o.astype(np.uint64) * _A)
-                    cut_rows["doc"], cut_rows["copy"], cut_rows["pos"], cut_rows["o"] = doc[lo + text[i]], copy[lo + text[i]], asks["pos"][i], o
-                    out = np.concatenate([out, cut_rows])
-                yield _emit(_packed((out["h"] >> np.uint64(20)) % np.uint64(buckets), out))
+                whole[(slot < LEFT - left[i, None]) | (slot >= LEFT + right[i, None])] = 0
+                out["h"], out["doc"], out["copy"], out["pos"] = h[pos[i]] | np.uint64(1), doc[lo + text[i]], copy[lo + text[i]], asks["pos"][i]
+                out["left"], out["right"], out["bytes"] = left[i], right[i], whole.view(f"S{LEFT + LENGTH}").ravel()
+                near.append(out)
+                i = np.flatnonzero(asks["kind"] == CUT)
+                for some in np.array_split(i, max(1, len(i) // 4096)):  # a bounded number of strings at a time
+                    j, o = (x.ravel() for x in np.meshgrid(some, np.arange(LEFT + 1), indexing="ij"))
+                    fits = (o <= left[j]) & (LENGTH - o <= right[j])
+                    j, o = j[fits], o[fits]
+                    start = np.unique(pos[j] - o)  # neighbouring anchors share strings
+                    out = np.zeros(len(start), _CUT)
+                    of = np.searchsorted(at, start, "right") - 1
+                    out["h"], out["doc"], out["copy"], out["lo"] = _string_hashes(h, start), doc[lo + of], copy[lo + of], start - at[of]
+                    far.append(out)
+            near, far = np.concatenate(near), np.concatenate(far)
+            far = np.unique(far[np.lexsort((far["lo"], far["copy"], far["doc"]))]) if len(far) else far
+            far = far[np.lexsort((far["lo"], far["copy"], far["doc"]))]
+            again = _first_of(far, ["h"]) != np.arange(len(far)) if len(far) else np.empty(0, bool)
+            known = _known_runs(far[again])
+            far = far[~again]
+            by = lambda rows: list(_packed((rows["h"] >> np.uint64(20)) % np.uint64(buckets), rows))
+            if len(near) or len(far):
+                yield _emit(known, buckets, rows=by(near), far=by(far))
 
     return run
 
@@ -403,7 +418,8 @@ def repeated_runs(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.flatnonzero(most >= 0), least, most
 
 
-def _runs_of(doc, copy, lo, hi) -> pa.RecordBatch:
+def _packed_runs(doc, copy, lo, hi) -> list[tuple[int, int, bytes]]:
+    """(doc, copy, packed runs) of removed runs."""
     order = np.lexsort((lo, copy, doc))
     doc, copy = doc[order], copy[order]
     run = np.empty(len(order), _RUN)
@@ -411,25 +427,26 @@ def _runs_of(doc, copy, lo, hi) -> pa.RecordBatch:
     new = np.ones(len(order), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])
     edges = np.flatnonzero(new)
-    blobs = [run[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(order)])]
-    return pa.RecordBatch.from_arrays([pa.array(doc[edges], pa.int64()), pa.array(copy[edges], pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "copy", "runs"])
+    return [(int(doc[a]), int(copy[a]), merged(run[a:z]).tobytes()) for a, z in zip(edges, [*edges[1:], len(order)])]
+
+
+def _known_runs(far: np.ndarray) -> list[tuple[int, int, bytes]]:
+    return _packed_runs(far["doc"], far["copy"], far["lo"], far["lo"] + LENGTH) if len(far) else []
 
 
 def _compare() -> Callable:
-    def f(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def f(rows: np.ndarray, far: np.ndarray) -> Iterator[pa.RecordBatch]:
+        far = far[np.lexsort((far["lo"], far["copy"], far["doc"]))]
+        known = _known_runs(far[_first_of(far, ["h"]) != np.arange(len(far))]) if len(far) else []
         rows = _sorted_rows(rows)
-        cut_rows = rows[rows["o"] >= 0]
-        again = cut_rows[_first_of(cut_rows, ["h"]) != np.arange(len(cut_rows))] if len(cut_rows) else cut_rows
-        ctx = rows[rows["o"] < 0]
-        hit, least, most = repeated_runs(ctx)
-        found = ctx[hit]
-        doc, copy = (np.concatenate([found[k], again[k]]) for k in ("doc", "copy"))
-        lo = np.concatenate([found["pos"] - most[hit], again["pos"] - again["o"]])
-        hi = np.concatenate([found["pos"] - least[hit] + LENGTH, again["pos"] - again["o"] + LENGTH])
-        if len(doc):
-            yield _runs_of(doc, copy, lo, hi)
+        hit, least, most = repeated_runs(rows)
+        found = rows[hit]
+        if len(found):
+            known += _packed_runs(found["doc"], found["copy"], found["pos"] - most[hit], found["pos"] - least[hit] + LENGTH)
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in known], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "copy", "runs"])
 
-    return _by_bucket(f, _CTX)
+    return _by_bucket(f, "runs", rows=_CTX, far=_CUT)
 
 
 def _settled_runs(asks: np.ndarray, size: int) -> np.ndarray:
@@ -484,29 +501,31 @@ def _spans(docs: DataFrame, many: int, rest: list[str] | None) -> DataFrame:
     n = partitions(docs.sparkSession)
     buckets = BUCKETS * n
     texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"),
+        # rows without a doc_id come before all others, in order of storage; a number each spreads them
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)) + F.monotonically_increasing_id()).alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         *([F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest is not None else []),
     )
     texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    scanned = texts.mapInArrow(_scan(buckets), "bucket int, doc_id long, copy int, rows binary")
+    scanned = texts.mapInArrow(_scan(buckets), "bucket int, doc_id long, copy int, known binary, rows binary")
     asks = scanned.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(many), "doc_id long, copy int, asks binary")
     asks = asks.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "asks")).alias("asks"))
-    contexts = texts.join(asks, "doc_id").mapInArrow(_contexts(buckets), "bucket int, rows binary")
+    contexts = texts.join(asks, "doc_id").mapInArrow(_contexts(buckets), "bucket int, doc_id long, copy int, known binary, rows binary, far binary")
     runs = contexts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(), "doc_id long, copy int, runs binary")
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "runs")).alias("runs"))
     schema = _RESULT
     if rest is not None:
         schema = _RESULT.replace("copy int,", f"copy int, rest {texts.schema['rest'].dataType.simpleString()},") + ", text string"
     found = texts.join(asks, "doc_id", "left").join(runs, "doc_id", "left").mapInArrow(_finish(rest is not None), schema)
-    return found.withColumn("doc_id", F.expr("nullif(doc_id, -9223372036854775808)"))
+    return found.withColumn("doc_id", F.when(F.col("doc_id") >= -(2**62), F.col("doc_id")))
 
 
 def duplicate_spans(docs: DataFrame, many: int = MANY) -> DataFrame:
     """doc_id, copy, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte ranges removed) of each row of documents.
 
-    Null texts are empty. Rows that repeat a doc_id (or have none) are told apart by `copy`, in the order of their
-    texts' hashes, the first being 1; null doc_ids come before all others. An empty table returns no rows.
+    Null texts are empty. Rows that repeat a doc_id are told apart by `copy`, in the order of their texts' hashes, the
+    first being 1; rows without a doc_id come before all others, in the order in which they are stored. An empty table
+    returns no rows. doc_ids below -2^62 are taken for missing.
     """
     return _spans(docs, many, None)
 
