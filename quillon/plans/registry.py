@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assessments, evidence, governance, operations, records, resolution, signals
+from . import assessments, evidence, governance, narratives, operations, records, resolution, signals
 
-QUERIES = signals.QUERIES | operations.QUERIES | evidence.QUERIES | resolution.QUERIES | governance.QUERIES | assessments.QUERIES | records.QUERIES
-ORACLES = signals.ORACLES | operations.ORACLES | evidence.ORACLES | resolution.ORACLES | governance.ORACLES | assessments.ORACLES | records.ORACLES
+QUERIES = signals.QUERIES | operations.QUERIES | evidence.QUERIES | resolution.QUERIES | governance.QUERIES | assessments.QUERIES | records.QUERIES | narratives.QUERIES
+ORACLES = signals.ORACLES | operations.ORACLES | evidence.ORACLES | resolution.ORACLES | governance.ORACLES | assessments.ORACLES | records.ORACLES | narratives.ORACLES
