@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import math
 
 import numpy as np
@@ -73,3 +74,15 @@ def ebgm_eb05(a: pd.Series, e: pd.Series, alpha: pd.Series, beta: pd.Series) ->
 @F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)) if v == v else None)
+
+
+@F.pandas_udf(DoubleType())
+def half_even_2(x: pd.Series) -> pd.Series:
+    """Rounded to two digits, the exact binary value deciding and ties going to the even digit."""
+    return x.map(lambda v: round(v, 2) if v == v else None)
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the length of the matching blocks of two texts over their joint length."""
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 from quillon.operators import reports, texts, trends
-from quillon.sources.tables import mentions, posts, table
+from quillon.sources.tables import mentions, posts, scratch, table
 from quillon.streaming import alerts
 
 from .signals import BAG, POSTS
@@ -132,8 +131,7 @@ def thread_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def str01_stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream, to the end of what is there."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-")
+    folder = scratch(spark)
     rows = table(spark, sf, "events")
     reader = spark.readStream.schema(rows.schema)
     if rows.inputFiles()[0].endswith("/events.parquet"):  # one file: its folder is the stream's source

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import dma, entities, hygiene, texts
-from quillon.sources.tables import mentions, posts, table
+from quillon.sources.tables import mentions, posts, scratch, table
 from quillon.streaming import ingest
 
 from .resolution import NEAR
@@ -158,7 +157,7 @@ def snk13_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-")
+    return scratch(spark)
 
 
 def snk14_export(spark: SparkSession, sf: str) -> DataFrame:

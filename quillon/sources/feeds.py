@@ -87,3 +87,13 @@ def sections(text: Column, names: list[str]) -> Column:
     head = rf"(?im)^\s*({'|'.join(names)})\s*:"
     titles, bodies = F.regexp_extract_all(text, F.lit(head)), F.split(text, head)
     return F.zip_with(titles, F.slice(bodies, 2, F.size(bodies)), lambda t, b: F.struct(F.lower(t).alias("name"), F.regexp_replace(b, r"^\s+|\s+$", "").alias("body")))
+
+
+def dictionary(spark: SparkSession, folder: str, name: str, schema: str, fallback: list[tuple]) -> DataFrame:
+    """A dictionary of a folder: its Parquet table if there is one, else its JSON lines, else the rows given."""
+    for kind in ("parquet", "json"):
+        path = f"{folder.rstrip('/')}/{name}.{kind}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            return spark.read.schema(schema).format(kind).load(path)
+    return spark.createDataFrame(fallback, schema)

@@ -5,6 +5,8 @@ A post is an order, a product is a part's brand, an event is the supplier's nati
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,15 @@ def mentions(spark: SparkSession, sf_dir: str, month: str | None = None, fine: b
         lines = lines.join(of_month.select(F.col("o_orderkey").alias("post")), "post")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(events, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select("post", "drug", "event", "soc").distinct()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's checkpoint folder; in local mode, without one, a
+    temporary folder; on a cluster its absence is an error."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quillon-")
