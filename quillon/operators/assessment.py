@@ -42,14 +42,24 @@ def balance(efficacy: Column, severe: Column) -> tuple[Column, Column]:
     return ratio, band
 
 
+MIX_PRIME = 4_294_967_311
+
+
+def mixes(i: int) -> tuple[int, int]:
+    """Factor and addend of the i-th hash function."""
+    return (i + 1) * 2_654_435_761 % MIX_PRIME, (i + 1) * 40_503 * 65_537 % MIX_PRIME
+
+
 def text_diversity(texts: DataFrame, key: str, text: str, functions: int = 8) -> DataFrame:
     """One less the mean Jaccard likeness of a key's texts by 4-grams; a key with one text has 1.
 
     The share of a key's pairs that agree on a min-hash estimates the likeness without bias, and is counted from the
     sizes of the groups of equal min-hashes: linear in the texts, no pairs are made. Null and empty texts are left out.
     """
-    rows = texts.where(F.length(text) > 0).select(key, F.array_distinct(grams(F.lower(text), 4, 0, 0)).alias("g"))
-    least = lambda i: F.array_min(F.transform("g", lambda g: F.md5(F.concat(F.lit(f"{i}:"), g))))
+    # one digest a gram; the hash functions are affine maps of it modulo a prime
+    digest = lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("long")
+    rows = texts.where(F.length(text) > 0).select(key, F.transform(F.array_distinct(grams(F.lower(text), 4, 0, 0)), digest).alias("g"))
+    least = lambda i: F.array_min(F.transform("g", lambda g: (g * mixes(i)[0] + mixes(i)[1]) % MIX_PRIME))
     rows = rows.select(key, F.posexplode(F.array(*(least(i) for i in range(functions)))).alias("i", "h"))
     same = rows.groupBy(key, "i", "h").agg(F.count("*").alias("n"))
     by = same.groupBy(key, "i").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agree"))

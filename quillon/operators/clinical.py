@@ -44,15 +44,16 @@ def alternation(surfaces: list[str]) -> str:
 
 def spans(text: Column, surfaces: list[str]) -> Column:
     """Array of (surface, start), start from 0, of the surfaces found in a text in order, case aside."""
-    low = F.lower(text)
-    found = F.regexp_extract_all(low, F.lit(alternation(surfaces)), F.lit(0))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<surface:string,start:int>>").alias("out"))
+    low, pattern = F.lower(text), alternation(surfaces)
+    found, between = F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), F.split(low, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<surface:string,start:int>>").alias("out"))
 
-    def step(acc: Column, surface: Column) -> Column:
-        at = F.call_function("locate", surface, low, acc["at"])
-        return F.struct((at + F.length(surface)).alias("at"), F.concat(acc["out"], F.array(F.struct(surface.alias("surface"), (at - 1).alias("start")))).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["before"])
+        return F.struct((at + F.length(x["surface"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["surface"].alias("surface"), at.alias("start")))).alias("out"))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    steps = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda s, b: F.struct(s.alias("surface"), b.alias("before")))
+    return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
 def entities(texts: DataFrame, key: str, text: str) -> DataFrame:

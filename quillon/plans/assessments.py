@@ -386,8 +386,8 @@ ORACLES = {
 select drug, event, nnh, case when good and crit and sure and q<4 then 'Uncertain' when good then 'Favourable' when q>=0.8::double then 'Uncertain' else 'Unfavourable' end as verdict from w""",
     "sta33_balance": f"""{_fine}, s as (select drug, sum(a)::bigint as n, sum(case when strength='STRONG' then a else 0 end)::bigint as severe from m group by 1), r as (select *, round((regexp_extract(drug,'([0-9]+)',1)::int*2+20.37::double)/nullif(100.0::double*severe/n,0),2) as ratio from s)
 select *, case when ratio is null then 'not evaluable' when ratio>=5 then 'strongly favourable' when ratio>=1.5::double then 'favourable' when ratio>=0.8::double then 'balanced' else 'unfavourable' end as band from r""",
-    "sta35_trust": """with t as (select conv_id, lower(text) as t from conversations where length(text)>0), g as (select conv_id, list_distinct(list_transform(generate_series(1, greatest(length(t)-3,1)), lambda i: substring(t, i::int, 4))) as g from t),
-h as (select conv_id, i, list_min(list_transform(g, lambda x: md5(i::varchar||':'||x))) as h from g, generate_series(0,7) k(i)), s as (select conv_id, i, h, count(*) as n from h group by all), b as (select conv_id, i, sum(n) as n, sum(n*(n-1)) as agree from s group by all),
+    "sta35_trust": """with t as (select conv_id, lower(text) as t from conversations where length(text)>0), g as (select conv_id, list_distinct(list_transform(generate_series(1, greatest(length(t)-3,1)), lambda i: substring(t, i::int, 4))) as gs from t), gh as (select conv_id, list_transform(gs, lambda x: ('0x'||substring(md5(x),1,7))::bigint) as g from g),
+h as (select conv_id, i, list_min(list_transform(g, lambda x: (x*((i+1)*2654435761%4294967311)+((i+1)*40503*65537)%4294967311)%4294967311)) as h from gh, generate_series(0,7) k(i)), s as (select conv_id, i, h, count(*) as n from h group by all), b as (select conv_id, i, sum(n) as n, sum(n*(n-1)) as agree from s group by all),
 d as (select conv_id, case when max(n)<2 then 1::double else 1-sum(agree)::double/(8*max(n)*(max(n)-1))::double end as diversity from b group by 1),
 r as (select conv_id, role, count(*) as n from conversations group by all), u as (select *, sum(n) over (partition by conv_id) as total from r),
 e as (select conv_id, max(total) as n, round(case when max(total)>1 then -sum(n::double/total*log2(n::double/total))/log2(max(total)) else 0 end,4) as entropy from u group by 1), p as (select conv_id, (max(turn)-min(turn))*3 as hours from conversations group by 1),
