@@ -14,6 +14,7 @@ from quillon.sources.tables import mentions, posts, scratch, table
 from quillon.streaming import dedupe
 
 from .signals import BAG, FINE_BAG, POSTS, SDR_PRR, sql_cells, sql_measures
+from .signals import ORACLES as SIGNALS
 
 
 def agg06_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,6 +291,8 @@ s as (select country, urgent, even, {_rem('count(*) filter (where ae_flag)', 'co
 select country, urgent, even, rem, """ + ", ".join(f"round(w_{f}/(w_country+w_urgent+w_even)*(rem-1),6) as by_{f}" for f in ("country", "urgent", "even")) + " from w",
     "sup03_annotated": f"with p as (select post, severity[1]::int as tier, round(author%100/100.0::double,2) as confidence from ({POSTS})), r as (select drug, event, post, tier, confidence, row_number() over (partition by drug, event order by tier, confidence desc, post) as rank from ({BAG}) join p using (post)) select * from r where rank<=3",
     "sup24_top_pairs": f"select drug, event, count(*) as a from ({BAG}) group by all order by a desc, drug, event limit 25",
+    "len06_lab_page": f"""with r as ({SIGNALS['len05_remine']}), q as (select *, case outcome when 'unmasked' then 5 when 'co_reported' then 4 when 'vanished' then 3 when 'amplified' then 2 when 'attenuated' then 1 else 0 end as rank from r where contains(lower(drug),'brand#1') and tier='evaluable')
+select drug, event, excluded, n_before, outcome, tier, rank from q order by rank desc, n_before desc, drug, event limit 20 offset 10""",
     "snk08_rebuilt": f"""with b as (select drug, event, count(*) as a, substring(drug,7,1) as project from ({BAG}) group by all), old as (select *, case when a%2=0 then 'reviewed' else 'new' end as state from b),
 f as (select x.drug, x.event, count(*) as a, substring(x.drug,7,1) as project from ({BAG}) x join orders on o_orderkey=x.post where o_orderstatus='F' group by all having substring(x.drug,7,1)='1'),
 z as (select project, state, a from old where project!='1' union all select f.project, case when old.state='reviewed' then 'reviewed' else 'new' end, f.a from f left join old on old.drug=f.drug and old.event=f.event) select project, state, count(*) as n, sum(a)::bigint as a from z group by all""",
