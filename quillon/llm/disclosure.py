@@ -7,8 +7,8 @@ the whole corpus that stand near c, p(c) the share of all words that do. A term
 `DISCLOSURE`, by at least `SUPPORT` different contexts, is taken out where it stands near c: generalised to its first
 letters if those of all words that share them reveal less than that, else removed.
 
-A context is the least hash of the words around a mention, so that copies and near copies of one passage are one piece
-of evidence, while each of a term's occurrences counts against it. Rows grow with mentions times the words in reach,
+A context is the two least hashes of the words around a mention, so that copies of a passage are one piece of evidence
+and near copies few, while each of a term's occurrences counts against it. Rows grow with mentions times the words in reach,
 never with the pairs of a document or of an entity; the counts of the corpus are summed in each task before they are
 shuffled.
 """
@@ -33,7 +33,7 @@ TERM = "term"
 #: Words on either side of a mention.
 REACH = 8
 #: Share of an entity's information, and different contexts, from which on a term reveals it.
-DISCLOSURE = 0.9
+DISCLOSURE = 0.95
 SUPPORT = 3
 #: A general form has so many first letters.
 PREFIX = 4
@@ -126,13 +126,13 @@ def _near(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple]:
         places = [i for i in (*range(max(0, lo - REACH), lo), *range(hi, min(len(words), hi + REACH))) if clean[i]]
         terms = [(i, t) for i in places if (t := term_of(text[words[i][0] : words[i][1]]))]
         hashes = {t: _hash(t) for _, t in terms}
-        least = sorted(set(hashes.values()))[:2]
+        least = sorted(set(hashes.values()))[:3]
         for i, t in terms:
-            # The least hash of the other words: a term is no evidence for itself.
-            others = [h for h in least if h != hashes[t]]
+            # Two of the other words: a term is no evidence for itself.
+            x, y = ([h for h in least if h != hashes[t]] + [0, 0])[:2]
             w = text[words[i][0] : words[i][1]]
             inner = words[i][1] - len(w.lstrip(_EDGE)), words[i][0] + len(w.rstrip(_EDGE))
-            yield entity, others[0] if others else 0, hashes[t], _hash(f"{g}*") if (g := general(t)) else 0, *inner
+            yield entity, x ^ (y >> 1), hashes[t], _hash(f"{g}*") if (g := general(t)) else 0, *inner
 
 
 _NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("general", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]))
