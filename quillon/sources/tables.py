@@ -6,6 +6,7 @@ A post is an order, a product is a part's brand, an event is the supplier's nati
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,10 @@ def scratch(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="quillon-")
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several joins read to the shared folder, and read it again: computed once, no lineage kept."""
+    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
