@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 from quillon.sources.tables import materialised
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def numbered_grams(text: Column, size: int, pad: int) -> Column:
-    """Character n-grams of a text with `pad` marks on either side; the second of equal ones is told from the first."""
+    """Character n-grams of a text with `pad` marks on either side, sorted; the second of equal ones is told from the
+    first by its number. A null text has none (null)."""
     padded = F.concat(F.repeat(F.lit("\x01"), F.lit(pad)), text, F.repeat(F.lit("\x02"), F.lit(pad)))
-    at = F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1)))
-    plain = F.transform(at, lambda i: F.substring(padded, i, F.lit(size)))
-    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    plain = lambda p: F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (size - 1), F.lit(1))), lambda i: F.substring(p, i, F.lit(size))))
+    numbered = lambda grams: F.transform(grams, lambda g, i: F.concat(g, (i + 2 - F.array_position(grams, g)).cast("string")))
+    return _bound(padded, lambda p: _bound(plain(p), numbered))
 
 
 def _rarest_first(x: DataFrame, key: str, seen: DataFrame) -> DataFrame:
@@ -70,7 +76,8 @@ def ratio_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     if least < 0.5:
         raise ValueError("bigrams bound the edit ratio from 0.5 on")
     lost = lambda n: 2 * F.floor((n - 1) * (1 - least) + 1e-9)
-    pairs = overlap_join(*_sides(left, right, lambda t: numbered_grams(t, 2, 1)), lambda n, m: F.greatest(n, m) - lost(F.greatest(n, m)), lambda n: n - lost(n))
+    floor = lambda n: F.ceil(n - 2 * (n - 1) * (1 - least) - 1e-9)  # noqa: E731  a longer partner may need less than n - lost(n)
+    pairs = overlap_join(*_sides(left, right, lambda t: numbered_grams(t, 2, 1)), lambda n, m: F.greatest(n, m) - lost(F.greatest(n, m)), floor)
     longest = F.greatest(F.length("a"), F.length("b"))
     ratio = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("a", "b") / longest)
     return pairs.select("a", "b", ratio.alias("ratio")).where(F.col("ratio") >= least - 1e-9)
