@@ -266,7 +266,7 @@ def _pack(length: int) -> Callable:
             for i in items:
                 sequence[i], offset[i] = key << 32 | k, at
                 at += sizes[i]
-        out = b.drop_columns("pack").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        out = b.drop_columns(["pack", "arrival"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         return out.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +287,16 @@ def _pack(length: int) -> Callable:
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Add sequence_id and offset to rows with a `length` of at most `length` tokens; doc_id and piece deal them out."""
+    """Add sequence_id and offset to rows with a `length` of at most `length` tokens.
+
+    Rows are dealt out by their number, so that equal or missing doc_ids spread as others do, and packed in its order; the
+    number is that of a stored table (as pack_documents() passes), so a task that runs again packs alike.
+    """
     groups = -(-pieces.count() // group) or 1
     names = [f.name for f in pieces.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.select(*names, "pack").repartition("pack").sortWithinPartitions("pack").mapInArrow(_pack(length), f"{schema}, sequence_id long, offset long")
+    dealt = pieces.withColumn("arrival", F.monotonically_increasing_id()).withColumn("pack", F.pmod(F.xxhash64("arrival"), F.lit(groups)))
+    return dealt.select(*names, "arrival", "pack").repartition("pack").sortWithinPartitions("pack", "arrival").mapInArrow(_pack(length), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

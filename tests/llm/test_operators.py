@@ -454,6 +454,21 @@ def test_local_search_empties_bins():
     assert sorted(i for b in end for i in b) == list(range(6)) and all(sum(sizes[i] for i in b) <= 10 for b in end) and len(end) < len(start)
 
 
+def test_rows_without_doc_id_spread_over_groups(spark):
+    """Missing and repeated doc_ids are dealt as others are, and a second run packs alike."""
+    rows = [(None, 0, 1 + i * 37 % 2048) for i in range(2500)] + [(7, 0, 1 + i * 53 % 2048) for i in range(500)]
+    table = packing.stored(spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(3), "pieces")
+    runs = [packing.pack(table, group=1000).collect() for _ in range(2)]
+    assert sorted(map(tuple, runs[0]), key=str) == sorted(map(tuple, runs[1]), key=str) and len(runs[0]) == 3000
+    sizes = collections.Counter(r.sequence_id >> 32 for r in runs[0])
+    assert len(sizes) == 3 and max(sizes.values()) < 1200
+    fill = collections.Counter()
+    for r in sorted(runs[0], key=lambda r: (r.sequence_id, r.offset)):
+        assert fill[r.sequence_id] == r.offset
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= packing.LENGTH
+
+
 def test_local_search_does_the_packing():
     """From next fit, squared fill rises with every step and the bins fall to within 1 % of the bound."""
     rng = np.random.default_rng(9)
