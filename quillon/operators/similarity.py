@@ -31,7 +31,7 @@ def numbered_grams(text: Column, size: int, pad: int) -> Column:
 
 def _rarest_first(x: DataFrame, key: str, seen: DataFrame) -> DataFrame:
     rows = x.select(key, F.explode("grams").alias("gram")).join(seen, "gram")
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda g: g["gram"]).alias("grams"))
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda g: g["id"]).alias("grams"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, need: Callable[[Column, Column], Column], floor: Callable[[Column], Column]) -> DataFrame:
@@ -40,11 +40,14 @@ def overlap_join(left: DataFrame, right: DataFrame, need: Callable[[Column, Colu
     than one are found only if they share a gram."""
     left, right = materialised(left, "grams-a"), materialised(right, "grams-b")
     seen = left.select(F.explode("grams").alias("gram")).unionByName(right.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    seen = materialised(seen.withColumn("id", F.monotonically_increasing_id()), "grams-seen")  # stored, so a gram keeps its number
+    # Candidates outnumber the rows they come from, so tasks are not merged by the size of those.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = []
     for rows, key, own in ((left, "a", "x"), (right, "b", "y")):
         rows = _rarest_first(rows, key, seen).withColumn(f"n{own}", F.size("grams"))
         prefix = F.slice("grams", F.lit(1), F.col(f"n{own}") - F.greatest(floor(F.col(f"n{own}")), F.lit(1)).cast("int") + 1)
-        sides.append(rows.select(key, F.col("grams").alias(own), f"n{own}", F.posexplode(prefix).alias(f"at_{own}", "gram")))
+        sides.append(rows.select(key, F.col("grams").alias(own), f"n{own}", F.posexplode(prefix).alias(f"at_{own}", "gram")).repartition(parts, "gram"))
     least = F.greatest(need(F.col("nx"), F.col("ny")), F.lit(1))
     rest = F.least(F.col("nx") - F.col("at_x"), F.col("ny") - F.col("at_y"))  # what can be shared from here on
     pairs = sides[0].join(sides[1], "gram").where((F.least("nx", "ny") >= least) & (rest >= least))
