@@ -41,16 +41,28 @@ def trend(series: DataFrame, key: str, alpha: float = 0.4) -> DataFrame:
     return rows.withColumn("spike", spike)
 
 
-#: Fixed critical values of the Poisson MaxSPRT at alpha 0.05, by upper limit of expected events.
-CRITICAL = [(1, 2.85), (2, 3.05), (5, 3.30), (10, 3.47), (20, 3.62), (50, 3.80), (100, 3.91), (200, 4.01), (500, 4.14), (1000, 4.22)]
-
-
-def critical_value(n) -> F.Column:
-    """Piecewise linear between the fixed values; their ends beyond."""
-    out = F.lit(CRITICAL[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(CRITICAL, CRITICAL[1:]))):
+#: Critical values of the sequential Poisson test by cumulated count, at alpha 0.05 and 0.01.
+CRITICAL = [
+    (1, 0.0), (2, 1.03), (3, 1.38), (4, 1.63), (5, 1.84), (6, 1.99), (8, 2.17), (10, 2.30), (15, 2.54), (20, 2.70), (30, 2.93), (50, 3.17), (75, 3.35), (100, 3.46), (150, 3.62), (200, 3.74), (300, 3.89),
+    (500, 4.06), (750, 4.19), (1000, 4.28),
+]
+CRITICAL_01 = [(1, 0.0), (2, 2.56), (3, 3.32), (5, 4.00), (10, 4.79), (20, 5.57), (50, 6.30), (100, 6.89), (200, 7.47), (500, 8.07), (1000, 8.45)]
+#: What the boundary gains beyond the last value, times the logarithm of the ratio.
+TAIL = 0.3
+
+
+def critical_values(alpha: float) -> list[tuple[int, float]]:
+    return CRITICAL if alpha >= 0.05 else CRITICAL_01
+
+
+def critical_value(n, alpha: float = 0.05) -> F.Column:
+    """Piecewise linear between the fixed values, the first one below, a logarithmic tail beyond the last."""
+    values = critical_values(alpha)
+    last, top = values[-1]
+    out = top + TAIL * F.log(n / last)
+    for (x0, y0), (x1, y1) in reversed(list(zip(values, values[1:]))):
         out = F.when(n <= x1, y0 + (y1 - y0) * (n - x0) / (x1 - x0)).otherwise(out)
-    return F.when(n <= CRITICAL[0][0], F.when(n > 1, CRITICAL[0][1]).otherwise(0.0)).otherwise(out)
+    return F.when(n <= values[0][0], values[0][1]).otherwise(out)
 
 
 def sequential_test(series: DataFrame, key: str, expected_total: float | None = None) -> DataFrame:

@@ -152,7 +152,14 @@ _SERIES = """d as (select event_type, cast(ts as date) as day, count(*) as n fro
 sp as (select event_type, unnest(generate_series(lo::timestamp, hi::timestamp, interval 1 day))::date as day from lim), s as (select event_type, day, coalesce(n,0) as n from sp left join d using (event_type, day)),
 r as (select *, row_number() over (partition by event_type order by day)-1 as i, count(*) over (partition by event_type) as days from s)"""
 _FOLD = "list_reduce({0}, lambda x, y: 0.4::double*y+0.6::double*x)"
-_cv = "case when total <= 1 then 0 " + " ".join(f"when total <= {x1} then {y0}::double+({y1}::double-{y0}::double)*(total-{x0})/({x1}-{x0})" for (x0, y0), (x1, y1) in zip(trends.CRITICAL, trends.CRITICAL[1:])) + f" else {trends.CRITICAL[-1][1]}::double end"
+def sql_critical(n: str) -> str:
+    """trends.critical_value in SQL."""
+    steps = " ".join(f"when {n} <= {x1} then {y0}::double+({y1}::double-{y0}::double)*({n}-{x0})/({x1}-{x0})" for (x0, y0), (x1, y1) in zip(trends.CRITICAL, trends.CRITICAL[1:]))
+    x, y = trends.CRITICAL[-1]
+    return f"case when {n} <= 1 then 0 {steps} else {y}::double+{trends.TAIL}::double*ln({n}/{x}::double) end"
+
+
+_cv = sql_critical("total")
 _GRAM = "list_transform(generate_series(1, len(w)-7), lambda i: array_to_string(w[i:i+7], ' '))"
 
 

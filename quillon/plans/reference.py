@@ -216,25 +216,6 @@ def src09_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("concept").alias("concepts"))
 
 
-def etl07_phases(spark: SparkSession, sf: str) -> DataFrame:
-    """The phases of a load, each a table of the shared folder that the next ones read: vocabulary, baseline, events
-    and the refreshed signals; the baseline's reload is skipped as it is there already."""
-    out = f"{scratch(spark)}/load-{uuid.uuid4().hex}"
-    read = lambda name: spark.read.parquet(f"{out}/{name}")
-    phases = {
-        "vocabulary": lambda: mentions(spark, sf).select(F.explode(F.array("drug", "event")).alias("name")).distinct(),
-        "baseline": lambda: dma.pair_counts(mentions(spark, sf).where("post % 2 = 0")),
-        "events": lambda: mentions(spark, sf).join(read("vocabulary").withColumnRenamed("name", "drug"), "drug", "left_semi"),
-        "refresh": lambda: dma.pair_counts(read("events")).join(read("baseline").select("drug", "event"), ["drug", "event"], "left_anti"),
-    }
-    rows = None
-    for name, phase in phases.items():
-        phase().write.parquet(f"{out}/{name}")
-        one = read(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("phase"), "n")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
 def sup01_reprocessed(spark: SparkSession, sf: str) -> DataFrame:
     """All posts derived anew: the processed table is overwritten whole, twice, and holds each post once."""
     out = f"{scratch(spark)}/processed-{uuid.uuid4().hex}"
@@ -248,7 +229,7 @@ def sup01_reprocessed(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     prd03_residual, sca09_sequence, sca10_morphological, sca12_redacted, sca25_half_even, sca04_display, sca35_deep_get, len24_label_filter, len22_vaccine_interest, len33_pair_story, nlp01_fields, nlp18_glossary,
     nlp21_linked_spans, nlp28_codes, nlp35_device_codes, sup08_ladder, sup09_chemicals, sup13_dual_names, sup16_vaccines, sup17_biologics, sup19_mitigation, sup20_scorecard, sup21_gold, src09_dictionaries,
-    etl07_phases, sup01_reprocessed,
+    sup01_reprocessed,
 )}
 
 _code = lambda x: f"(('0x'||substring(sha256({x}),1,16))::ubigint & 9223372036854775807::ubigint)::bigint"
@@ -286,6 +267,5 @@ select t.term, coalesce(p.generic,y.generic) as generic, coalesce(p.class,y.clas
 s as (select *, round(tp::double/nullif(tp+fp,0),4) as precision, round(tp::double/nullif(tp+fn,0),4) as recall from b) select *, context in ('triage','signal detection') and precision>=0.8 and recall>=0.8 as allowed from s""",
     "sup21_gold": "with x as (select 'labels' as source, doc_id::bigint as c, toxic::bigint as gold from labels union all select 'benchmark', item_id::bigint, 0 from benchmark), f as (select * from x qualify row_number() over (partition by c order by source desc)=1) select source, count(*) as n, sum(gold)::bigint as gold from f group by 1",
     "src09_dictionaries": f"select 'products' as name, count(*) as n, count(distinct p_brand) as concepts from (select distinct p_name, p_brand from part) union all select 'places', count(*), count(distinct lower(n_name)) from nation union all select 'conditions', {len(C.CONDITIONS)}, {len({c for _, c in C.CONDITIONS})}",
-    "etl07_phases": f"with b as ({BAG}), base as (select distinct drug, event from b where post%2=0) select 'vocabulary' as phase, count(*) as n from (select drug from b union select event from b) union all select 'baseline', count(*) from base union all select 'events', count(*) from b union all select 'refresh', count(*) from (select distinct drug, event from b) x where not exists (select 1 from base y where y.drug=x.drug and y.event=x.event)",
     "sup01_reprocessed": f"with {_N}, {_LEX} select generic as drug, regexp_matches(lower(text),'{_PROD}') and regexp_matches(lower(text),'{_EV}') and not regexp_matches(lower(text), '(?:^|[^a-z])(?:no|denies|without) {_EV[2:]}') as ae, count(*) as n from {_GEN} group by all",
 }

@@ -148,27 +148,6 @@ def len06_lab_page(spark: SparkSession, sf: str) -> DataFrame:
     return reports.page(rows.select("drug", "event", "excluded", "n_before", "outcome", "tier", rank.alias("rank")), [F.desc("rank"), F.desc("n_before"), "drug", "event"], 10, 20)
 
 
-def snk08_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
-    """Signals of one project rebuilt from scratch: its partition alone is overwritten, reviewed states are kept."""
-    out = f"{scratch(spark)}/signals-{uuid.uuid4().hex}"
-    rows = dma.pair_counts(mentions(spark, sf)).withColumn("project", F.substring("drug", 7, 1)).withColumn("state", F.when(F.col("a") % 2 == 0, "reviewed").otherwise("new"))
-    rows.write.partitionBy("project").parquet(out)
-    now = spark.read.schema(rows.schema).parquet(out)
-    fresh = dma.pair_counts(mentions(spark, sf).join(posts(spark, sf).where("ae_flag").select("post"), "post", "left_semi")).withColumn("project", F.substring("drug", 7, 1)).where("project = '1'")
-    kept = sinks.carried(fresh, now.where("project = '1' and state = 'reviewed'").select("drug", "event", "state"), ["drug", "event"], {"state": "new"})
-    kept.select("drug", "event", "a", "state", "project").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(out)
-    return spark.read.schema(rows.schema).parquet(out).groupBy("project", "state").agg(F.count("*").alias("n"), F.sum("a").alias("a"))
-
-
-def etl04_synced(spark: SparkSession, sf: str) -> DataFrame:
-    """Posts whose exposures or conditions an earlier sync has are skipped; the others' rows are added."""
-    m = mentions(spark, sf)
-    seen = m.where("post % 3 = 0").select("post").distinct()
-    rows = m.join(seen, "post", "left_anti")
-    kinds = [rows.select("post", F.lit(k).alias("kind"), F.col(c).alias("name")).distinct() for k, c in (("exposure", "drug"), ("condition", "event"))]
-    return kinds[0].unionByName(kinds[1]).groupBy("kind", "name").agg(F.count("*").alias("n"))
-
-
 def etl05_seeded(spark: SparkSession, sf: str) -> DataFrame:
     """Concepts seeded from all catalogues, the first domain that has a name winning, with stable ids."""
     p, n, r = table(spark, sf, "part"), table(spark, sf, "nation"), table(spark, sf, "region")
@@ -181,22 +160,6 @@ def etl05_seeded(spark: SparkSession, sf: str) -> DataFrame:
     return first.select("name", "domain", sinks.surrogate_key(F.concat_ws("|", "domain", "name")).alias("concept_id"))
 
 
-def str09_looks(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequential surveillance over monthly looks at each product: reports so far against those expected of its share,
-    their log-likelihood ratio, and whether it crosses the critical value."""
-    m = mentions(spark, sf).join(posts(spark, sf).select("post", F.trunc("posted_at", "month").alias("look")), "post")
-    by = m.groupBy("drug", "look").agg(F.count("*").alias("n"))
-    share = by.groupBy("drug").agg(F.sum("n").alias("of_drug")).crossJoin(F.broadcast(by.agg(F.sum("n").alias("total"))))
-    every = by.groupBy("look").agg(F.sum("n").alias("all"))
-    w = Window.partitionBy("drug").orderBy("look")
-    # months are few however long the tables are
-    rows = share.select("drug", (F.col("of_drug") / F.col("total")).alias("share")).crossJoin(F.broadcast(every)).join(by, ["drug", "look"], "left").fillna(0, ["n"])
-    rows = rows.select("drug", "look", F.sum("n").over(w).alias("c"), (F.sum("all").over(w) * F.col("share") * 0.9).alias("mu"))
-    llr = F.when((F.col("c") > F.col("mu")) & (F.col("mu") > 0), F.col("c") * F.log(F.col("c") / F.col("mu")) - (F.col("c") - F.col("mu"))).otherwise(0.0)
-    rows = rows.select("drug", "look", "c", F.round("mu", 3).alias("mu"), F.round(llr, 3).alias("llr"))
-    return rows.withColumn("crossed", F.col("llr") >= 3.84)
-
-
 def str04_content(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream: of equal contents within 30 days the first stays."""
     rows = table(spark, sf, "events")
@@ -261,7 +224,7 @@ def src25_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     agg06_labels, agg30_dominant, win10_slopes, set03_rows, prd16_gates, prd18_regions, prd07_symptoms, joi03_known, joi09_comparators, joi10_enriched, gra07_best_metric, gra08_enriched_edges, sta25_attribution,
-    sup03_annotated, sup24_top_pairs, len06_lab_page, snk08_rebuilt, etl04_synced, etl05_seeded, str09_looks, str04_content, sca27_calibrated_p, sta40_severity, sta47_label_change, src04_json, src06_delimited,
+    sup03_annotated, sup24_top_pairs, len06_lab_page, etl05_seeded, str04_content, sca27_calibrated_p, sta40_severity, sta47_label_change, src04_json, src06_delimited,
     src07_pairs, src25_sections,
 )}
 
@@ -293,15 +256,8 @@ select country, urgent, even, rem, """ + ", ".join(f"round(w_{f}/(w_country+w_ur
     "sup24_top_pairs": f"select drug, event, count(*) as a from ({BAG}) group by all order by a desc, drug, event limit 25",
     "len06_lab_page": f"""with r as ({SIGNALS['len05_remine']}), q as (select *, case outcome when 'unmasked' then 5 when 'co_reported' then 4 when 'vanished' then 3 when 'amplified' then 2 when 'attenuated' then 1 else 0 end as rank from r where contains(lower(drug),'brand#1') and tier='evaluable')
 select drug, event, excluded, n_before, outcome, tier, rank from q order by rank desc, n_before desc, drug, event limit 20 offset 10""",
-    "snk08_rebuilt": f"""with b as (select drug, event, count(*) as a, substring(drug,7,1) as project from ({BAG}) group by all), old as (select *, case when a%2=0 then 'reviewed' else 'new' end as state from b),
-f as (select x.drug, x.event, count(*) as a, substring(x.drug,7,1) as project from ({BAG}) x join orders on o_orderkey=x.post where o_orderstatus='F' group by all having substring(x.drug,7,1)='1'),
-z as (select project, state, a from old where project!='1' union all select f.project, case when old.state='reviewed' then 'reviewed' else 'new' end, f.a from f left join old on old.drug=f.drug and old.event=f.event) select project, state, count(*) as n, sum(a)::bigint as a from z group by all""",
-    "etl04_synced": f"with b as (select * from ({BAG}) where post%3!=0), x as (select distinct post, 'exposure' as kind, drug as name from b union all select distinct post, 'condition', event from b) select kind, name, count(*) as n from x group by all",
     "etl05_seeded": """with x as (select 1 as rank, 'Drug' as domain, p_brand as name from part union select 2, 'Ingredient', p_name from part union select 3, 'Condition', n_name from nation union select 4, 'Place', r_name from region union select 5, 'Place', n_name from nation),
 f as (select lower(name) as name, domain from x qualify row_number() over (partition by lower(name) order by rank)=1) select name, domain, (('0x'||substring(sha256(domain||'|'||name),1,16))::ubigint & 9223372036854775807::ubigint)::bigint as concept_id from f""",
-    "str09_looks": f"""with b as (select drug, date_trunc('month',posted_at)::date as look, count(*) as n from ({BAG}) join ({POSTS}) using (post) group by all), s as (select drug, sum(n)::double/(select sum(n) from b) as share from b group by 1), e as (select look, sum(n) as al from b group by 1),
-r as (select s.drug, e.look, coalesce(n,0) as n, al, share from e cross join s left join b on b.drug=s.drug and b.look=e.look), c as (select drug, look, (sum(n) over w)::bigint as c, (sum(al) over w)*share*0.9::double as mu from r window w as (partition by drug order by look)),
-l as (select drug, look, c, round(mu,3) as mu, round(case when c>mu and mu>0 then c*ln(c/mu)-(c-mu) else 0 end,3) as llr from c) select *, llr>=3.84 as crossed from l""",
     "str04_content": "select event_type, count(distinct user_id) as users from events group by 1",
     "sta40_severity": f"with x as (select severity in ('1-URGENT','2-HIGH') as crit, author%4 in (0,1) as sure from ({POSTS})) select case when crit and sure then 'Critical' when crit then 'High' when sure then 'Medium' else 'Low' end as grade, count(*) as n from x group by 1",
     "sta47_label_change": f"{_fine}, x as (select round(least(0.95::double, case when {SDR_PRR} then 0.25::double else 0 end+case when length(event)=8 then 0.3::double else 0 end+case when ic025>0 then 0.25::double else 0 end+case when a>=5 then 0.1::double else 0 end+case when prr>=2 then 0.1::double else 0 end),2) as likelihood from m) select likelihood, count(*) as n from x group by 1",
