@@ -81,8 +81,8 @@ def str09_looks(spark: SparkSession, sf: str) -> DataFrame:
     for period in ("look < '1997-07-01'", "look >= '1997-07-01' and look < '1999-07-01'", "look >= '1999-07-01'"):
         rows.where(period).repartition("drug").write.mode("append").parquet(f"{folder}/rows")  # files come in the order of time
     tested = looks.run_available(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/rows"), "drug", folder)
-    three = [F.round(c, 3).alias(c) for c in ("mu", "llr", "max_llr", "critical")]
-    return tested.select("drug", F.to_date("look").alias("look"), "looks", "c", *three, F.to_date("first_crossing").alias("first_crossing"))
+    four = [F.round(c, 6).alias(c) for c in ("mu", "llr", "max_llr", "critical")]
+    return tested.select("drug", F.to_date("look").alias("look"), "looks", "c", *four, F.to_date("first_crossing").alias("first_crossing"))
 
 
 QUERIES = {f.__name__: f for f in (snk08_rebuilt, etl04_synced, etl07_phases, str06_totals, str09_looks)}
@@ -99,5 +99,5 @@ union all select 'refresh', count(*) from (select distinct drug, event from b) x
     "str09_looks": f"""with b as (select drug, date_trunc('month',posted_at)::date as look, count(*) as n from ({BAG}) join ({POSTS}) using (post) group by all), s as (select drug, sum(n)::double/(select sum(n) from b) as share from b group by 1), e as (select look, sum(n) as al from b group by 1),
 r as (select s.drug, e.look, coalesce(n,0) as n, al, share from e cross join s left join b on b.drug=s.drug and b.look=e.look), c as (select drug, look, row_number() over w as looks, (sum(n) over w)::bigint as c, sum(al*share*0.9::double) over w as mu from r window w as (partition by drug order by look)),
 l as (select *, case when c>mu and mu>0 then c*ln(c/mu)-(c-mu) else 0 end as llr, {sql_critical('c')} as cv from c), t as (select *, max(llr) over (partition by drug order by look) as best from l),
-u as (select *, min(case when cv>0 and best>=cv then look end) over (partition by drug order by look) as first_crossing from t) select drug, look, looks, c, round(mu,3) as mu, round(llr,3) as llr, round(best,3) as max_llr, round(cv,3) as critical, first_crossing from u""",
+u as (select *, min(case when cv>0 and best>=cv then look end) over (partition by drug order by look) as first_crossing from t) select drug, look, looks, c, round(mu,6) as mu, round(llr,6) as llr, round(best,6) as max_llr, round(cv,6) as critical, first_crossing from u""",
 }
