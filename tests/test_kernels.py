@@ -62,7 +62,7 @@ def test_special_functions():
 
 def test_critical_values(spark):
     rows = spark.createDataFrame([(n,) for n in (1, 2, 15, 5000)], "n int").select(trends.critical_value(F.col("n")).alias("cv")).collect()
-    assert [round(r.cv, 3) for r in rows] == [0.0, 3.05, 3.545, 4.22]
+    assert [round(r.cv, 3) for r in rows] == [0.0, 1.03, 2.54, 4.763]
 
 
 def test_kernels_at_the_edges(spark):
