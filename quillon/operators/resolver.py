@@ -125,7 +125,7 @@ def terminology(terms: DataFrame, chain: DataFrame, said: DataFrame) -> DataFram
     exact = rest.join(llts.select(F.col("llt").alias("key")), "key", "left_semi").select("key", F.col("key").alias("llt"), F.lit("llt_exact").alias("method"), F.lit(1.0).alias("similarity"))
     rest = rest.join(exact.select("key"), "key", "left_anti")
     best = lambda df, how: df.groupBy("key").agg(F.min_by(F.struct("llt", "similarity"), F.struct(-F.col("similarity"), F.col("llt"))).alias("b")).select("key", "b.llt", F.lit(how).alias("method"), "b.similarity")
-    near = best(_likeness(rest, llts, FLOOR), "grams")
+    near = materialised(best(_likeness(rest, llts, FLOOR), "grams"), "near")
     rest = rest.join(near.select("key"), "key", "left_anti")
     found = vernacular.unionByName(exact).unionByName(near).unionByName(best(_spelling(rest, llts, FUZZY), "spelling")).join(llts.select("llt", "pt", "soc"), "llt")
     return t.join(found, "key", "left").select("term", "llt", "pt", "soc", F.coalesce("method", F.lit("unmatched")).alias("method"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

@@ -82,6 +82,18 @@ def test_a_gram_of_every_term_brings_no_candidates(spark):
     assert similarity.jaccard_join(left, right, 0.95).count() == 1500
 
 
+@pytest.mark.parametrize("counters", [64, 1 << 18])
+def test_index_of_the_right_side_finds_what_prefixes_find(spark, both, monkeypatch, counters):
+    left, right, xs, ys = both
+    monkeypatch.setattr(similarity, "_COUNTERS", counters)
+    grams = lambda df, k: similarity._with_grams(df, k, 3, 2)
+    need, floor = lambda n, m: F.ceil((n + m) * (0.4 / 1.4)), lambda n: F.ceil(n * 0.4)
+    found = [{tuple(r) for r in similarity.overlap_join(grams(left, "a"), grams(right, "b"), need, floor, most=most).collect()} for most in (0, 1 << 20)]
+    shared = lambda a, b: sum((bag(a) & bag(b)).values())
+    size = lambda t: sum(bag(t).values())
+    assert found[0] == found[1] == {(a, b, shared(a, b)) for a in xs for b in ys if shared(a, b) >= max(1, math.ceil((size(a) + size(b)) * (0.4 / 1.4)))}
+
+
 def test_containing_and_holding_all(both):
     left, right, xs, ys = both
     got = {(r.a, r.b) for r in similarity.containing(left.where("a is not null"), right.where("b is not null"), 2).collect()}
