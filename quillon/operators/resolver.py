@@ -104,7 +104,7 @@ def hybrid(terms: DataFrame, chain: DataFrame, said: DataFrame) -> DataFrame:
     relevance = F.when(talk, 0.02).when(F.col("llt").isNotNull(), 0.85).when(verb, 0.15).otherwise(0.4)
     judged = known.withColumn("relevance", relevance).where(F.col("relevance") >= LEAST_RANK)
     exact = judged.where("llt is not null").select("key", "llt", F.lit(1).alias("at"), F.lit(1.0).alias("similarity"))
-    spelt = _spelling(judged.select("key"), llts, SPELLING).withColumn("at", F.lit(2))
+    spelt = materialised(_spelling(judged.select("key"), llts, SPELLING), "spelt").withColumn("at", F.lit(2))
     rest = judged.select("key").join(spelt.select("key").distinct(), "key", "left_anti")
     near = _likeness(rest, llts, GRAMS).withColumn("at", F.lit(3))
     every = exact.unionByName(spelt).unionByName(near).join(judged.select("key", "relevance"), "key")
