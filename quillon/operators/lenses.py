@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import kernels
+from quillon.sources.tables import materialised
 
 from .dma import cells, disproportionality, measures, pair_counts
 
@@ -76,7 +77,10 @@ def interactions(mentions: DataFrame, min_count: int = 2) -> DataFrame:
 
 def masking(mentions: DataFrame) -> DataFrame:
     """Competitors of each pair for its event: the ten largest, whether they mask it, and the pair's risk class."""
-    pairs = pair_counts(mentions)
+    return _maskers(pair_counts(mentions))
+
+
+def _maskers(pairs: DataFrame) -> DataFrame:
     total = F.sum("a").over(Window.partitionBy("event"))
     rows = pairs.withColumn("event_total", total)
     top = Window.partitionBy("event").orderBy(F.desc("a"), "drug")
@@ -94,20 +98,36 @@ def masking(mentions: DataFrame) -> DataFrame:
     return by.withColumn("risk", risk)
 
 
+def _dropped(by_post: DataFrame, sets: DataFrame) -> DataFrame:
+    """excluded, drug, event and n: the mentions m of the posts that have any of a set's one to three members."""
+    two = F.flatten(F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, F.size("members")), lambda y: F.array(x, y))))
+    three = F.filter(F.array("members"), lambda m: F.size(m) == 3)
+    of = sets.select("excluded", F.explode(F.concat(F.transform("members", lambda x: F.array(x)), two, three)).alias("part"))
+    named = [F.get("part", i).alias(c) for i, c in enumerate(("first", "second", "third"))]
+    parts = materialised(of.select("part").distinct().select("part", F.monotonically_increasing_id().alias("id"), *named), "parts")
+    rows = by_post.select(F.array_distinct(F.transform("m", lambda x: x["drug"])).alias("drugs"), "m").select(F.explode("drugs").alias("first"), "drugs", "m").join(parts.drop("part"), "first")
+    held = [F.col(c).isNull() | F.array_contains("drugs", F.col(c)) for c in ("second", "third")]
+    seen = rows.where(held[0] & held[1]).select("id", F.explode("m").alias("x")).groupBy("id", "x.drug", "x.event").agg(F.count("*").alias("n"))
+    sign = F.when(F.size("part") == 2, -1).otherwise(1)
+    by = of.join(parts.select("part", "id"), "part").select("excluded", "id", sign.alias("sign")).join(seen, "id")
+    return by.groupBy("excluded", "drug", "event").agg(F.sum(F.col("n") * F.col("sign")).alias("n"))
+
+
 def remine(mentions: DataFrame) -> DataFrame:
     """Statistics of every pair before and after whole posts with its maskers (up to three likely ones, else the
     event's largest other drug) are dropped, what comes of it, and how well the pair can be judged.
 
-    Pairs of an event share few sets of maskers. What the dropped posts held is counted per set and taken off the
-    pair's cells, so the mentions are joined with their own posts only, never evaluated once for each set.
+    Pairs of an event share few sets of maskers. What the dropped posts held is counted and taken off the pair's cells.
+    Posts with any of a set's drugs are those with one of them, less those with two, plus those with three; each part
+    of a set is counted once for all sets that have it, within a post's own row, so no post is repeated for each set.
     """
-    before = cells(pair_counts(mentions))
+    by_post = materialised(mentions.groupBy("post").agg(F.collect_list(F.struct("drug", "event")).alias("m")), "posts")
+    pairs = materialised(pair_counts(by_post.select(F.explode("m").alias("x")).select("x.*")), "pairs")
+    before = cells(pairs)
     members = F.when(F.size("maskers") > 0, F.col("maskers")).otherwise(F.array("top_rival"))
-    target = masking(mentions).select("drug", "event", F.array_sort(members).alias("members"))
-    target = target.withColumn("excluded", F.array_join("members", "|"))
-    sets = target.select("excluded", F.explode("members").alias("drug")).distinct()
-    hit = mentions.select("post", "drug").distinct().join(sets, "drug").select("post", "excluded").distinct()
-    gone = mentions.join(hit, "post").groupBy("excluded", "drug", "event").agg(F.count("*").alias("n"))
+    target = _maskers(pairs).select("drug", "event", F.array_sort(members).alias("members"))
+    target = materialised(target.withColumn("excluded", F.array_join("members", "|")), "targets")
+    gone = _dropped(by_post, target.select("excluded", "members").distinct())
     rows = target.drop("members").join(before, ["drug", "event"])
     for name, keys in (("pair", ["drug", "event"]), ("drug", ["drug"]), ("event", ["event"]), ("all", [])):
         lost = gone.groupBy("excluded", *keys).agg(F.sum("n").alias(f"gone_{name}"))

@@ -69,3 +69,19 @@ def test_remine_excludes_up_to_three_maskers(spark):
     after = got["T", "E"]
     assert after.n_after == 3 and after.prr_after == pytest.approx(((3.5) / 8) / ((5.5) / 10), abs=1e-3)
     assert lenses.remine(df.limit(0)).count() == 0
+
+
+def test_remine_repeats_no_post_for_each_set(spark):
+    """Of the posts with any of a set's drugs, those with two or three of them count once."""
+    sets = spark.createDataFrame([("A|B|C", ["A", "B", "C"]), ("A|B", ["A", "B"]), ("C", ["C"])], "excluded string, members array<string>")
+    posts = {1: "A", 2: "AB", 3: "ABC", 4: "BC", 5: "D", 6: "CD"}
+    rows = [(p, [(d, "e") for d in drugs]) for p, drugs in posts.items()]
+    by_post = spark.createDataFrame(rows, "post long, m array<struct<drug:string,event:string>>")
+    got = {(r.excluded, r.drug): r.n for r in lenses._dropped(by_post, sets).collect() if r.n}
+    want = {}
+    for name in ("A|B|C", "A|B", "C"):
+        for drugs in posts.values():
+            if set(drugs) & set(name.split("|")):
+                for d in drugs:
+                    want[name, d] = want.get((name, d), 0) + 1
+    assert got == want
