@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillon.sources.tables import materialised
+from quillon.sources.tables import materialised, spread
 from quillon.sources.versions import VersionedTable
 
 #: A range of the ledger holds two to this many posts.
 BITS = 20
+#: A block of posts that a task writes, two to this many.
+BLOCK = 15
 SYNCED = "post long, kind string, name string, sync int, range long"
 
 
@@ -29,7 +31,8 @@ def sync(table: VersionedTable, rows: DataFrame, marks: Iterable[str] = ("exposu
     A post counts as taken in once it has a row of a kind in `marks`. As the default has it, a post that has conditions
     but no exposure is never marked, so each sync adds its conditions again; with both kinds it is added once.
     Repeated rows of a sync are one; rows without a post are left out. Of the ledger only the ranges between the least
-    and the largest post of the rows are read.
+    and the largest post of the rows are read. Tasks hold a number of rows that does not grow with them; what is added
+    is written by blocks of posts, so that a range is a few files.
     """
     schema = StructType.fromDDL(SYNCED)
     rows = materialised(rows.where("post is not null").select(F.col("post").cast("long").alias("post"), "kind", "name").distinct(), "sync")
@@ -39,12 +42,13 @@ def sync(table: VersionedTable, rows: DataFrame, marks: Iterable[str] = ("exposu
     if span["low"] is None:
         return {"sync": number - 1, "mapped": 0, "skipped": 0}
     old = table.read(m["version"] or None, schema).where(F.col("range").between(span["low"] >> BITS, span["high"] >> BITS))
-    seen = old.where(F.col("kind").isin(list(marks))).select("post").distinct().withColumn("seen", F.lit(True))
-    told = rows.join(seen, "post", "left")
+    n = rows.count() + (old.count() if m["parts"] else 0)
+    seen = spread(old.where(F.col("kind").isin(list(marks))).select("post"), n, "post").distinct().withColumn("seen", F.lit(True))
+    told = spread(rows, n, "post").join(seen, "post", "left")
     posts = told.groupBy("post").agg(F.max("seen").alias("seen")).agg(F.count_if(F.col("seen").isNull()).alias("mapped"), F.count_if("seen").alias("skipped")).first()
     new = told.where("seen is null").select("post", "kind", "name", F.lit(number).alias("sync"), F.shiftright("post", BITS).alias("range"))
     done = {"sync": number, "mapped": posts["mapped"], "skipped": posts["skipped"]}
-    table.append(new, done)
+    table.append(spread(new, n, F.shiftright("post", BLOCK)), done)
     return done
 
 

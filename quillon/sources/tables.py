@@ -12,6 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a task where rows are spread by their number, so that what a task holds does not grow with the tables (Spark
+#: itself puts up to 64 MB of packed rows into one).
+ROWS = 1 << 17
+
+
+def spread(rows: DataFrame, n: int, *by) -> DataFrame:
+    """Rows in tasks by the hash of `by`, about ROWS of the n rows in each."""
+    return rows.repartition(max(1, -(-n // ROWS)), *by)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +39,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str, month: str | None = None, fine: bool = False) -> DataFrame:
-    """Distinct (post, drug, event, soc), of all posts or of one month (yyyy-MM); `fine` products are a brand and size."""
+    """Distinct (post, drug, event, soc), of all posts or of one month (yyyy-MM); `fine` products are a brand and size.
+
+    Rows are spread by post, so joins and groups by post go on from there."""
     t = lambda n: table(spark, sf_dir, n)
     drug = F.concat_ws("/", "p_brand", F.col("p_size").cast("string")) if fine else F.col("p_brand")
     parts = t("part").select("p_partkey", drug.alias("drug"))
@@ -41,7 +53,8 @@ def mentions(spark: SparkSession, sf_dir: str, month: str | None = None, fine: b
         of_month = t("orders").where((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < start + F.expr("interval 1 month")))
         lines = lines.join(of_month.select(F.col("o_orderkey").alias("post")), "post")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(events, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select("post", "drug", "event", "soc").distinct()
+    rows = rows.select("post", "drug", "event", "soc")
+    return (rows if month else spread(rows, t("lineitem").count(), "post")).distinct()
 
 
 def scratch(spark: SparkSession) -> str:
