@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import kernels
 from quillon.functions.special import ebgm_eb05
+from quillon.sources.tables import materialised
 
 
 def pair_counts(rows: DataFrame, drug: str = "drug", event: str = "event") -> DataFrame:
@@ -59,7 +60,7 @@ def bayes(rows: DataFrame) -> DataFrame:
 
 
 def disproportionality(rows: DataFrame, drug: str = "drug", event: str = "event") -> DataFrame:
-    return measures(cells(pair_counts(rows, drug, event)))
+    return measures(cells(materialised(pair_counts(rows, drug, event), "pairs")))  # else each margin counts the mentions again
 
 
 def without_posts_of(rows: DataFrame, drugs: DataFrame) -> DataFrame:
