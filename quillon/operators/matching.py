@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillon.sources.tables import materialised
+
 #: Entries whose hashes are broadcast, 8 bytes each; more are joined.
 BROADCAST = 1 << 20
 #: Words of the longest entry.
@@ -159,6 +161,15 @@ def dictionary_spans(texts: DataFrame, key: str, text: str, dictionary: DataFram
     return longest(hits(texts, key, text, dictionary, most), key)
 
 
+def spans_of_each(texts: DataFrame, key: str, text: str, dictionaries: list[DataFrame], most: int = BROADCAST) -> list[DataFrame]:
+    """dictionary_spans() of several dictionaries, which know nothing of each other; the texts are read once."""
+    every = dictionaries[0].withColumn("_of", F.lit(0))
+    for i, d in enumerate(dictionaries[1:], 1):
+        every = every.unionByName(d.withColumn("_of", F.lit(i)), allowMissingColumns=True)
+    found = materialised(hits(texts, key, text, every, most), "hits")
+    return [longest(found.where(F.col("_of") == i).select(key, "word", "n", "start", "stop", *d.columns), key) for i, d in enumerate(dictionaries)]
+
+
 def negated(spans: DataFrame, cues: DataFrame, key: str, reach: int = 6) -> DataFrame:
     """Spans with `negated`: of the `reach` words before a span, a trigger stands after the last terminator, and no
     phrase that only looks like a negation is among them.

@@ -40,8 +40,8 @@ def sca16_overlapping(spark: SparkSession, sf: str) -> DataFrame:
 def nlp14_window_negation(spark: SparkSession, sf: str) -> DataFrame:
     """Spans and how many of them are negated, by surface; cues of four languages are a dictionary of their own."""
     cues = spark.createDataFrame([(s, c) for c, surfaces in CUES.items() for s in surfaces], "surface string, cue string")
-    found = matching.dictionary_spans(table(spark, sf, "documents"), "doc_id", "text", cues)
-    rows = matching.negated(_spans(spark, sf), found, "doc_id")
+    spans, found = matching.spans_of_each(table(spark, sf, "documents"), "doc_id", "text", [phrases(spark, sf), cues])
+    rows = matching.negated(spans, found, "doc_id")
     return rows.groupBy("surface").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
 
 
