@@ -57,7 +57,7 @@ def mapped(terms: DataFrame, chain: DataFrame, said: DataFrame) -> DataFrame:
     wording = F.when(F.col("said_pt").isNotNull(), F.struct(F.col("key").alias("llt"), *(F.coalesce(F.col(f"z.{c}"), F.col("said_pt") if c == "pt" else F.lit(None)).alias(c) for c in LEVELS)))
     method = F.when(F.col("x").isNotNull(), "llt_exact").when(F.col("y").isNotNull(), "pt_exact").when(F.col("said_pt").isNotNull(), "pt_via_map")
     rows = third.select("term", "key", F.coalesce("x", "y", wording).alias("c"), method.alias("method"))
-    open_ = rows.where("method is null").select("key").distinct()
+    open_ = materialised(rows.where("method is null").select("key").distinct(), "open")
     inside = containing(open_.select(F.col("key").alias("a")), llts.select(F.col("llt").alias("b")), _SHORT_TERM)
     inside = inside.groupBy("a").agg(F.min_by("b", F.struct(-F.length("b"), F.col("b"))).alias("llt"))
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= _SHORT_WORD))

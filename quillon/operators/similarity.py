@@ -286,10 +286,17 @@ def holding_all(terms: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _by_rarest(held: DataFrame, asked: DataFrame) -> DataFrame:
-    """(a, b): terms that hold the entry's rarest gram. Grams that no term has count as rarest: such entries drop out."""
+    """(a, b): terms that hold the entry's rarest gram. Grams that no term has count as rarest: such entries drop out.
+
+    While the entries have few grams (counted first), those of terms that no entry has go where they arise; what is left
+    is kept, so the terms are read once."""
+    grams = asked.select("gram").distinct()
+    if grams.limit(INDEX + 1).count() <= INDEX:
+        held = materialised(held.join(F.broadcast(grams), "gram", "left_semi"), "grams")
     seen = held.groupBy("gram").agg(F.count("*").alias("n"))
     first = asked.join(seen, "gram", "left").groupBy("b").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r"))
-    return held.join(first.select("b", F.col("r.gram").alias("gram")), "gram").select("a", "b")
+    first = materialised(first.select("b", F.col("r.gram").alias("gram")), "rarest")
+    return held.join(F.broadcast(first) if first.count() <= INDEX else first, "gram").select("a", "b")
 
 
 def cosine_join(left: DataFrame, right: DataFrame, least: float, size: int = 3, pad: int = 2) -> DataFrame:
