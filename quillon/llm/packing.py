@@ -1,11 +1,13 @@
 """Packing of documents into training sequences by swap-based local search.
 
 Documents are tokenized where they lie and cut into pieces of at most the sequence length. Lengths alone, not tokens,
-are dealt into packing groups of bounded size (a hash of document and piece), so every group sees the same mix of
-lengths and loses less than one sequence. In a group, pieces are laid down in order of arrival (next fit), which leaves
-many bins underfull; then bins are emptied, emptiest first, by moves, one-for-one and two-for-one exchanges with fuller
-underfull bins, each of which increases the sum of squared fills, until no bin can be emptied or the bins are as few as
-the total length allows.
+are dealt into packing groups of bounded size (a hash of the row's number), so every group sees the same mix of
+lengths. In a group, pieces are laid down in order of arrival (next fit), which leaves many bins underfull; then bins
+are emptied, emptiest first, by moves, one-for-one and two-for-one exchanges with fuller underfull bins, each of which
+increases the sum of squared fills, until no bin can be emptied or the bins are as few as the total length allows.
+Where there are several groups, each gathers its room in few bins; the underfull bins of all groups are dealt anew, whole,
+and searched on, in ever fewer groups. Full bins take part in no step, so once one group holds all underfull bins, each
+has met all others.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Pieces in a packing group.
 GROUP = 20_000
-#: Items of a bin up to which two of them together may be exchanged for one.
+#: Pairs of items of bins with at most so many are tried first; those of other bins once the search would end without.
 FEW = 5
 
 
@@ -141,6 +143,11 @@ class _Places:
         return None
 
 
+def twice_at_most(items: list[int], sizes: list[int]) -> list[int]:
+    """Of items in order of size two of each size, which stand for the others."""
+    return [i for k, i in enumerate(items) if k < 2 or sizes[items[k - 2]] != sizes[i]]
+
+
 class _Underfull:
     """The underfull bins by room, and what they hold."""
 
@@ -149,6 +156,7 @@ class _Underfull:
         self.rooms: list[set[int]] = [set() for _ in range(length + 1)]
         self.room_mask = 0
         self.one, self.two = _Places(length), _Places(length)
+        self.rest: _Places | None = None
         for b in range(len(bins)):
             self.add(b)
 
@@ -159,6 +167,26 @@ class _Underfull:
         if len(items) <= FEW:
             for i, j in combinations(items, 2):
                 yield self.two, room + sizes[i] + sizes[j], (b, i, j)
+        elif self.rest is not None:
+            yield from self._pairs(b, room)
+
+    def _pairs(self, b: int, room: int) -> Iterator[tuple[_Places, int, tuple[int, ...]]]:
+        """One pair for each sum of two items of a bin: pairs of one sum are exchanged for the same."""
+        sizes, sums = self.sizes, {}
+        for i, j in combinations(twice_at_most(sorted(self.bins[b], key=sizes.__getitem__), sizes), 2):
+            sums.setdefault(sizes[i] + sizes[j], (b, i, j))
+        for total, entry in sums.items():
+            yield self.rest, room + total, entry
+
+    def open_rest(self) -> None:
+        """From now on all pairs can be found."""
+        if self.rest is None:
+            self.rest = _Places(self.length)
+            for b, items in enumerate(self.bins):
+                room = self.length - self.fill[b]
+                if room and len(items) > FEW:
+                    for places, k, entry in self._pairs(b, room):
+                        places.add(k, room, entry)
 
     def add(self, b: int) -> None:
         room = self.length - self.fill[b]
@@ -182,21 +210,26 @@ class _Underfull:
         mask = self.room_mask >> size
         return next(iter(self.rooms[size + (mask & -mask).bit_length() - 1])) if mask else None
 
-    def place_for(self, give: list[int], exact: bool) -> tuple[int, ...] | None:
-        """What `give` is exchanged for: one item for one or two, or two for one."""
+    def place_for(self, give: list[int], exact: bool, rest: bool = False) -> tuple[int, ...] | None:
+        """What `give` is exchanged for: one item for one or two, or two for one; with `rest`, two of a bin of more than
+        FEW for one."""
         size = sum(self.sizes[i] for i in give)
+        if rest:
+            return self.rest.find(size, exact) if len(give) == 1 else None
         found = self.one.find(size, exact)
         return found if found is not None or len(give) > 1 else self.two.find(size, exact)
 
 
-def local_search(bins: list[list[int]], sizes: list[int], length: int, trace: list[int] | None = None) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], length: int, trace: list[int] | None = None, gather: bool = False) -> list[list[int]]:
     """Empty underfull bins into fuller ones, emptiest first, until no bin can be emptied or the bins are as few as
     the total length allows.
 
     An item of the bin moves into the tightest bin with room; where none has, it takes the place of a smaller item
     (one for one), two items do or it takes the place of two smaller ones (two for one), exact fits first, and what
-    was there comes back. Each step increases the sum of squared fills (`trace` gets it after each), so the search
-    ends; no bin is left out.
+    was there comes back. Pairs of bins of more than FEW items are tried once a pass over all bins has emptied none
+    without them. Each step increases the sum of squared fills (`trace` gets it after each), so the search ends; no bin
+    and no pair is left out. `bins` is changed in place, and emptied ones stay in it. With `gather` steps go on where the
+    bins are as few as can be, so that what room there is ends up in few of them.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     fewest = -(-sum(sizes) // length)
@@ -221,7 +254,7 @@ def local_search(bins: list[list[int]], sizes: list[int], length: int, trace: li
         if trace is not None:
             trace.append(squares)
 
-    def better(e: int) -> bool:
+    def better(e: int, rest: bool) -> bool:
         """One step that takes from bin e, if there is one."""
         mine = sorted(bins[e], key=sizes.__getitem__, reverse=True)
         for i in mine:
@@ -229,23 +262,26 @@ def local_search(bins: list[list[int]], sizes: list[int], length: int, trace: li
             if o is not None and fill[o] + sizes[i] > fill[e]:
                 step(e, [i], o, [])
                 return True
-        gifts = [[i] for i in mine] + [list(p) for p in combinations(mine, 2)]
-        for exact in (True, False):
+        some = twice_at_most(mine, sizes)
+        gifts = [[i] for i in some] + [list(p) for p in combinations(some, 2)]
+        for far, exact in [(False, True), (False, False)] + [(True, True), (True, False)] * rest:
             for give in gifts:
-                found = open_.place_for(give, exact)
+                found = open_.place_for(give, exact, far)
                 if found is not None and gained(e, give, *found) > 0:
                     step(e, give, found[0], list(found[1:]))
                     return True
         return False
 
-    emptied = True
-    while emptied and count > fewest:
-        emptied = False
+    rest, emptied = False, True
+    while (emptied or not rest) and (gather or count > fewest):
+        rest, emptied = not emptied, False
+        if rest:
+            open_.open_rest()
         for e in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < length), key=fill.__getitem__):
-            if count <= fewest:
+            if count <= fewest and not gather:
                 break
             open_.remove(e)
-            while bins[e] and better(e):
+            while bins[e] and better(e, rest):
                 pass
             if bins[e]:
                 open_.add(e)
@@ -255,18 +291,31 @@ def local_search(bins: list[list[int]], sizes: list[int], length: int, trace: li
     return [b for b in bins if b]
 
 
-def _pack(length: int) -> Callable:
+def _pack(length: int, again: bool, gather: bool) -> Callable:
+    """Search a group at a time: from next fit, or `again` from the bins that its rows are in. Bins keep their numbers."""
+
     def group(b: pa.Table) -> pa.RecordBatch:
-        sizes = column(b.combine_chunks(), "length").to_pylist()
-        bins = local_search(next_fit(sizes, length), sizes, length)
-        sequence, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-        key = b.column("pack")[0].as_py()
+        b = b.combine_chunks()
+        sizes = column(b, "length").to_pylist()
+        if again:
+            ids, first = np.unique(column(b, "sequence_id").to_numpy(), return_index=True)
+            bins = [list(range(lo, hi)) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(sizes)])]
+            b = b.drop_columns(["sequence_id", "offset"])
+        else:
+            bins = next_fit(sizes, length)
+            ids = column(b, "pack")[0].as_py() << 32 | np.arange(len(bins))
+            b = b.drop_columns(["arrival"])
+        local_search(bins, sizes, length, gather=gather)
+        sequence, offset, room = (np.empty(len(sizes), np.int64) for _ in range(3))
         for k, items in enumerate(bins):
             at = 0
             for i in items:
-                sequence[i], offset[i] = key << 32 | k, at
+                sequence[i], offset[i] = ids[k], at
                 at += sizes[i]
-        out = b.drop_columns(["pack", "arrival"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            room[items] = length - at
+        out = b.drop_columns(["pack"])
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("room", room)):
+            out = out.append_column(name, pa.array(values))
         return out.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,16 +336,33 @@ def _pack(length: int) -> Callable:
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Add sequence_id and offset to rows with a `length` of at most `length` tokens.
+    """Add sequence_id and offset to rows with a `length` of 1 to `length` tokens.
 
     Rows are dealt out by their number, so that equal or missing doc_ids spread as others do, and packed in its order; the
-    number is that of a stored table (as pack_documents() passes), so a task that runs again packs alike.
+    number is that of a stored table (as pack_documents() passes), so a task that runs again packs alike. The underfull
+    bins of all groups then meet in new groups, fewer each time, until one holds them all, or what room they have together
+    is less than a sequence, or the groups do not get fewer and none could empty a bin.
     """
     groups = -(-pieces.count() // group) or 1
     names = [f.name for f in pieces.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long, room long"
     dealt = pieces.withColumn("arrival", F.monotonically_increasing_id()).withColumn("pack", F.pmod(F.xxhash64("arrival"), F.lit(groups)))
-    return dealt.select(*names, "arrival", "pack").repartition("pack").sortWithinPartitions("pack", "arrival").mapInArrow(_pack(length), f"{schema}, sequence_id long, offset long")
+    packed = dealt.select(*names, "arrival", "pack").repartition("pack").sortWithinPartitions("pack", "arrival").mapInArrow(_pack(length, False, groups > 1), schema)
+    full, before, turn = [], None, 0
+    while groups > 1:
+        packed = stored(packed, "packed")
+        left = packed.where("room > 0")
+        n, room = left.agg(F.count("*"), F.sum(F.when(F.col("offset") == 0, F.col("room")))).first()
+        fewer = -(-n // group)
+        if (room or 0) < length or (fewer >= groups and room == before):
+            break
+        full.append(packed.where("room = 0"))
+        groups, before, turn = min(fewer, groups), room, turn + 1
+        dealt = left.drop("room").withColumn("pack", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups)))
+        packed = dealt.repartition("pack").sortWithinPartitions("pack", "sequence_id", "offset").mapInArrow(_pack(length, True, groups > 1), schema)
+    for part in full:
+        packed = packed.unionByName(part)
+    return packed.drop("room")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
